@@ -70,8 +70,11 @@ def likeness(a: Column, b: Column) -> Column:
 
     def lanes(vec: Column) -> Column:
         count = F.element_at(vec, n + 1)
-        parts = [F.transform(F.slice(vec, 1, n), lambda w, k=k: 2 * F.shiftright(w, 16 * k).bitwiseAND(F.lit(MOD - 1)) - count) for k in range(FIELDS)]
-        return F.concat(*parts)
+
+        def field(k: int) -> Column:
+            return F.transform(F.slice(vec, 1, n), lambda w: 2 * F.shiftright(w, 16 * k).bitwiseAND(F.lit(MOD - 1)) - count)
+
+        return F.concat(*map(field, range(FIELDS)))
 
     def square(xs: Column) -> Column:
         return F.aggregate(xs, F.lit(0).cast("long"), lambda acc, x: acc + signed(x) * signed(x))
@@ -171,7 +174,7 @@ f as (select e.o, e.doc_id, e.n, e.ed, coalesce(a.lanes, repeat('0', 512)) || pr
     coalesce(c.lanes, repeat('0', 512)) || printf('%016x', coalesce(c.n, 0) % 16384) as fc, c.v as vc
   from e left join k a on a.o = e.o and a.kind = 0 left join k c on c.o = e.o and c.kind = 1),
 g as (select *, coalesce(lead(fa) over w, first_value(fa) over w) as fn, case when lead(o) over w is null then first_value(va) over w else lead(va) over w end as vn from f window w as (order by o)),
-z as (select *, coalesce(va, list_resize([], 128, 0)) as a, coalesce(vc, list_resize([], 128, 0)) as c, coalesce(vn, list_resize([], 128, 0)) as x from g),
+z as (select *, coalesce(va, list_transform(range(128), lambda i: 0::bigint)) as a, coalesce(vc, list_transform(range(128), lambda i: 0::bigint)) as c, coalesce(vn, list_transform(range(128), lambda i: 0::bigint)) as x from g),
 y as (
   select *, list_sum(list_transform(a, lambda q: q * q)) as aa, list_sum(list_transform(c, lambda q: q * q)) as cc, list_sum(list_transform(x, lambda q: q * q)) as xx,
     list_sum(list_transform(list_zip(a, c), lambda q: (q[1] - q[2]) * (q[1] - q[2]))) as ac, list_sum(list_transform(list_zip(a, x), lambda q: (q[1] - q[2]) * (q[1] - q[2]))) as ax
