@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, fingerprints, mixing
+from . import bpe, chat, fingerprints, language, mixing, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": language.query,
+    "op3_toxicity": toxicity.query,
     "op5_chat_format": chat.query,
+    "op6_simhash_dedup": simhash.query,
     "op8_mix_sources": mixing.query,
+    "op9_byte_bpe": bpe.query,
     "op10_fingerprint": fingerprints.query,
 }
 SQL: dict[str, str] = {
