@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 # A paragraph is a piece that ends with a line or sentence end and the blanks after it; the pieces of a text
 # joined in order are the text.
 PARAGRAPH = r"[^.!?\n]*[.!?\n][.!? \t\r\n]*|[^.!?\n]+"
-SHIFTS, FIELDS, BITS = 16, 4, 14  # a word of 64 hash bits feeds 64 lanes: 16 longs of 4 lanes, 14 bits each
-ONES = 0x0001000100010001
-MASK = 0x3FFF3FFF3FFF3FFF
+BITS = 14  # of a lane: sums are modulo 2^14
 MOD = 1 << BITS
+LANES = 128  # the bits of an MD5
+PAIRS = LANES // 2  # lanes i and i + 32 of 64 hash bits share a long, as fields of 32 bits that sums never fill
+ONES = 0x0000000100000001
+FIELDS = (MOD - 1) << 32 | (MOD - 1)
 MAX_RANGES = 1 << 14
 
 
@@ -20,40 +22,34 @@ def _hex64(h: Column, at: int) -> Column:
     return F.shiftleft(part(at), 32).bitwiseOR(part(at + 8))
 
 
-def vector(text: Column) -> Column:
-    """The sum of the vectors of a text's paragraphs: 32 longs that hold 128 lanes modulo 2^14, and the number
-    of paragraphs modulo 2^14.
+def vectors(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """keys and vec, the sum of the vectors of the paragraphs of text, for each of rows (keys must be unique).
 
-    A paragraph's vector is 0 or 1 in each lane: the bits of its MD5. Sums modulo 2^14 do not depend on the
-    order, so vectors of parts add up (combine) and a paragraph is inserted or deleted by adding or subtracting
-    its vector. Null counts as the empty text, which has no paragraph.
+    A paragraph's vector is 0 or 1 in each of 128 lanes: the bits of its MD5. Sums modulo 2^14 do not depend on
+    the order; vectors of parts add up, and a paragraph is inserted or deleted by adding or subtracting its
+    vector (combine). vec holds 64 longs of two lanes each and the number of paragraphs, all modulo 2^14. Null
+    counts as the empty text, which has no paragraph.
     """
-    hashes = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PARAGRAPH), F.lit(0)), lambda p: F.md5(p))
-    words = F.transform(hashes, lambda h: F.struct(_hex64(h, 1).alias("a"), _hex64(h, 17).alias("b")))
-    return _lanes(words)
-
-
-def _lanes(words: Column) -> Column:
-    def total(name: str, i: Column) -> Column:
-        return F.aggregate(words, F.lit(0).cast("long"), lambda acc, w: (acc + F.call_function("shiftright", w[name], i).bitwiseAND(F.lit(ONES))).bitwiseAND(F.lit(MASK)))
-
-    each = F.sequence(F.lit(0), F.lit(SHIFTS - 1))
-    count = (F.size(words).cast("long")) % MOD
-    return F.concat(F.transform(each, lambda i: total("a", i)), F.transform(each, lambda i: total("b", i)), F.array(count))
+    parts = rows.select(*keys, F.explode_outer(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PARAGRAPH), F.lit(0))).alias("_p"))
+    hashed = parts.select(*keys, F.md5("_p").alias("_h")).select(*keys, _hex64(F.col("_h"), 1).alias("_a"), _hex64(F.col("_h"), 17).alias("_b"))
+    sums = [F.sum(F.shiftright(w, i).bitwiseAND(F.lit(ONES))).alias(f"{w}{i}") for w in ("_a", "_b") for i in range(32)]
+    out = hashed.groupBy(*keys).agg(F.count("_a").alias("_n"), *sums)
+    lanes = [F.coalesce(F.col(f"{w}{i}"), F.lit(0)).bitwiseAND(F.lit(FIELDS)) for w in ("_a", "_b") for i in range(32)]
+    return out.select(*keys, F.array(*lanes, F.col("_n") % MOD).alias("vec"))
 
 
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
     """Lane by lane a + b, or a - b for sign -1, modulo 2^14: the vector of both parts, or of a without b."""
-    field = F.lit(MASK)
     if sign > 0:
-        return F.zip_with(a, b, lambda x, y: (x + y).bitwiseAND(field))
-    top = F.lit(ONES << BITS)  # a bit above each lane pays what subtraction borrows; the topmost stays in range
-    return F.zip_with(a, b, lambda x, y: (x.bitwiseOR(top) - y).bitwiseAND(field))
+        return F.zip_with(a, b, lambda x, y: (x + y).bitwiseAND(F.lit(FIELDS)))
+    borrow = F.lit(ONES << BITS)  # a bit above each lane pays what subtraction borrows
+    return F.zip_with(a, b, lambda x, y: (x.bitwiseOR(borrow) - y).bitwiseAND(F.lit(FIELDS)))
 
 
 def shown(vec: Column) -> Column:
-    """The vector as text: 16 hex digits a long."""
-    return F.array_join(F.transform(vec, lambda w: F.lpad(F.lower(F.hex(w)), 16, "0")), "")
+    """The vector as text: 4 hex digits a lane, 8 for the number of paragraphs."""
+    packed = lambda w: F.shiftright(w, 16).bitwiseAND(F.lit((MOD - 1) << 16)).bitwiseOR(w.bitwiseAND(F.lit(MOD - 1)))
+    return F.array_join(F.transform(vec, lambda w: F.lpad(F.lower(F.hex(packed(w))), 8, "0")), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -63,24 +59,30 @@ def likeness(a: Column, b: Column) -> Column:
     counts, so this is near the share of common paragraphs for texts without repeats. Equal vectors: 1; one of
     them empty: 0.
     """
-    n = 2 * SHIFTS
 
     def signed(v: Column) -> Column:  # modulo 2^14, as -2^13 .. 2^13 - 1
-        return F.pmod(v + MOD // 2, F.lit(MOD)) - MOD // 2
+        return (v + MOD // 2).bitwiseAND(F.lit(MOD - 1)) - MOD // 2
 
-    def lanes(vec: Column) -> Column:
-        count = F.element_at(vec, n + 1)
+    def square(*vecs: Column) -> Column:
+        n = F.element_at(vecs[0], PAIRS + 1) if len(vecs) == 1 else F.element_at(vecs[0], PAIRS + 1) - F.element_at(vecs[1], PAIRS + 1)
 
-        def field(k: int) -> Column:
-            return F.transform(F.slice(vec, 1, n), lambda w: 2 * F.shiftright(w, 16 * k).bitwiseAND(F.lit(MOD - 1)) - count)
+        def both(x: Column, at: int) -> Column:
+            lane = 2 * F.shiftright(x, at).bitwiseAND(F.lit(MOD - 1))
+            return lane
 
-        return F.concat(*map(field, range(FIELDS)))
+        def one(x: Column) -> Column:
+            lo, hi = signed(both(x, 0) - n), signed(both(x, 32) - n)
+            return lo * lo + hi * hi
 
-    def square(xs: Column) -> Column:
-        return F.aggregate(xs, F.lit(0).cast("long"), lambda acc, x: acc + signed(x) * signed(x))
+        def two(x: Column, y: Column) -> Column:
+            lo, hi = signed(both(x, 0) - both(y, 0) - n), signed(both(x, 32) - both(y, 32) - n)
+            return lo * lo + hi * hi
 
-    x, y = lanes(a), lanes(b)
-    apart, whole = square(F.zip_with(x, y, lambda p, q: p - q)), square(x) + square(y)
+        cells = [F.slice(v, 1, PAIRS) for v in vecs]
+        each = F.transform(cells[0], one) if len(vecs) == 1 else F.zip_with(cells[0], cells[1], two)
+        return F.aggregate(each, F.lit(0).cast("long"), lambda acc, x: acc + x)
+
+    apart, whole = square(a, b), square(a) + square(b)
     return F.when(a == b, 1.0).when(whole == 0, 0.0).otherwise(F.greatest(F.lit(0.0), 1.0 - apart.cast("double") / whole.cast("double")))
 
 
@@ -111,27 +113,25 @@ def range_of(ident: Column, bounds: list[int]) -> Column:
     return F.when(ident.isNull(), -1).otherwise(down)
 
 
-def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
-    """docs (doc_id, text and what else carried names) with next_<name> of the next document, descending doc_id;
-    after the last the first. Equal ids go by a hash of the text; null ids come last.
+def with_next(docs: DataFrame) -> DataFrame:
+    """doc_id, text and next_text (of the next document, descending doc_id; after the last the first) for every
+    row of docs, with _range and _place, which name the row.
 
-    Rows are dealt by ranges of doc_id and looked at within a range; the first row of the range below is added
-    to each range's end, so no task sorts all rows. The rows added are at most as many as ranges.
+    Equal ids go by a hash of the text; null ids come last. Rows are dealt by ranges of doc_id and looked at
+    within a range; the first row of the range below is added to each range's end, so no task sorts all rows.
+    The rows added, and the table broadcast for them, are at most as many as ranges.
     """
     bounds = ranges(docs)
-    tie = F.xxhash64("text")
-    rows = docs.withColumn("_range", range_of(F.col("doc_id"), bounds)).withColumn("_tie", tie)
-    first = docs.select("doc_id", "text").withColumn("_range", range_of(F.col("doc_id"), bounds))
-    first = first.groupBy("_range").agg(F.max("doc_id").alias("top"))
-    before = Window.orderBy(F.col("_range"))  # one row for each range
-    least = F.min("_range").over(Window.partitionBy())
-    first = first.select("top", F.coalesce(F.lead("_range").over(before), least).alias("_to"))
-    heads = rows.join(F.broadcast(first), F.col("doc_id").eqNullSafe(F.col("top"))).drop("_range", "top").withColumnRenamed("_to", "_range")
-    every = rows.withColumn("_added", F.lit(0)).unionByName(heads.withColumn("_added", F.lit(1)))
+    rows = docs.select("doc_id", "text", range_of(F.col("doc_id"), bounds).alias("_range"))
+    first = docs.select("doc_id", range_of(F.col("doc_id"), bounds).alias("_range")).groupBy("_range").agg(F.max("doc_id").alias("top"))
+    before, every = Window.orderBy("_range"), Window.partitionBy()  # one row for each range
+    # Ids descend, so a range is followed by the one below it, and the lowest by the highest.
+    first = first.select("top", F.coalesce(F.lead("_range").over(before), F.min("_range").over(every)).alias("_to"))
+    heads = docs.select("doc_id", "text").join(F.broadcast(first), F.col("doc_id").eqNullSafe(F.col("top"))).select("doc_id", "text", F.col("_to").alias("_range"))
+    both = rows.withColumn("_added", F.lit(0)).unionByName(heads.withColumn("_added", F.lit(1))).withColumn("_tie", F.xxhash64("text"))
     order = Window.partitionBy("_range").orderBy("_added", F.col("doc_id").desc_nulls_last(), "_tie")
-    for name in carried:
-        every = every.withColumn(f"next_{name}", F.lead(name).over(order))
-    return every.filter("_added = 0").drop("_range", "_tie", "_added")
+    out = both.select("doc_id", "text", "_range", "_added", F.row_number().over(order).alias("_place"), F.lead("text").over(order).alias("next_text"))
+    return out.filter("_added = 0").drop("_added")
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
@@ -140,15 +140,21 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     The edited text has the last floor(n_chars / 2) code points replaced by the first as many (or all) of the
     next document. Null texts count as empty (n_chars 0, all lanes 0); a table of one row is its own next; an
     empty table gives an empty result; rows with equal ids keep a fixed order; other columns are left alone.
+
+    Texts are shuffled once, by range; all sums that follow have the range in their keys, so they need no
+    exchange of their own.
     """
-    slim = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("vec", vector(F.col("text")))
-    rows = with_next(slim, ["text", "vec"])
+    rows = with_next(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "vec", "next_vec", edited.alias("edited"))
-    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "vec", "next_vec", vector(F.col("edited")).alias("edited_vec"))
-    return rows.select("doc_id", "n_chars", "edited_sha256", shown(F.col("vec")).alias("fingerprint"), shown(F.col("edited_vec")).alias("edited_fingerprint"), likeness(F.col("vec"), F.col("edited_vec")).alias("near_edited"), likeness(F.col("vec"), F.col("next_vec")).alias("near_next"))
+    rows = rows.select("_range", "_place", "doc_id", n.cast("long").alias("n_chars"), "text", "next_text", edited.alias("edited"))
+    keys = ["_range", "_place", "doc_id", "n_chars", "edited_sha256"]
+    rows = rows.withColumn("edited_sha256", F.sha2("edited", 256)).select(*keys, F.posexplode(F.array("text", "edited", "next_text")).alias("_kind", "_text"))
+    vecs = vectors(rows, [*keys, "_kind"], "_text")
+    pick = [F.max(F.when(F.col("_kind") == k, F.col("vec"))).alias(name) for k, name in enumerate(("own", "edit", "next"))]
+    out = vecs.groupBy(*keys).agg(*pick)
+    return out.select("doc_id", "n_chars", "edited_sha256", shown(F.col("own")).alias("fingerprint"), shown(F.col("edit")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("edit")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,11 +173,11 @@ b as (
     sum((('0x' || substr(h, (l // 64) * 16 + 16 - (l % 64) // 4, 1))::int >> ((l % 64) % 4)::int) & 1) as c
   from h, range(128) r(l) group by o, kind, l),
 k as (
-  select o, kind, string_agg(printf('%04x', (c % 16384)::int), '' order by l // 64, (l % 64) % 16, (l % 64) // 16 desc) as lanes, max(n) as n,
+  select o, kind, string_agg(printf('%04x', (c % 16384)::int), '' order by l // 64, l % 32, l % 64 // 32 desc) as lanes, max(n) as n,
     list((2 * c - n)::bigint order by l) as v
   from b group by o, kind),
-f as (select e.o, e.doc_id, e.n, e.ed, coalesce(a.lanes, repeat('0', 512)) || printf('%016x', coalesce(a.n, 0) % 16384) as fa, a.v as va,
-    coalesce(c.lanes, repeat('0', 512)) || printf('%016x', coalesce(c.n, 0) % 16384) as fc, c.v as vc
+f as (select e.o, e.doc_id, e.n, e.ed, coalesce(a.lanes, repeat('0', 512)) || printf('%08x', coalesce(a.n, 0) % 16384) as fa, a.v as va,
+    coalesce(c.lanes, repeat('0', 512)) || printf('%08x', coalesce(c.n, 0) % 16384) as fc, c.v as vc
   from e left join k a on a.o = e.o and a.kind = 0 left join k c on c.o = e.o and c.kind = 1),
 g as (select *, coalesce(lead(fa) over w, first_value(fa) over w) as fn, case when lead(o) over w is null then first_value(va) over w else lead(va) over w end as vn from f window w as (order by o)),
 z as (select *, coalesce(va, list_transform(range(128), lambda i: 0::bigint)) as a, coalesce(vc, list_transform(range(128), lambda i: 0::bigint)) as c, coalesce(vn, list_transform(range(128), lambda i: 0::bigint)) as x from g),
