@@ -56,31 +56,35 @@ def segments() -> list[tuple[str, Column]]:
 
 
 def with_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id and the parts of each note: the one join, on the customer."""
+    """doc_id and the parts of each note as one array: the one join, on the customer."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     both = orders.join(table(spark, sf_dir, "customer").select("c_custkey"), F.col("o_custkey") == F.col("c_custkey"))
-    parts = segments()
-    return both.select(F.col("o_orderkey").alias("doc_id"), *[x.alias(f"p{i}") for i, (_, x) in enumerate(parts)])
+    return both.select(F.col("o_orderkey").alias("doc_id"), F.array(*[x for _, x in segments()]).alias("parts"))
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text."""
-    return with_segments(spark, sf_dir).select("doc_id", F.concat(*[f"p{i}" for i in range(len(segments()))]).alias("text"))
+    return with_segments(spark, sf_dir).select("doc_id", F.array_join("parts", "").alias("text"))
 
 
 def _gold_array() -> Column:
-    at, out = F.lit(0), []
-    for i, (label, _) in enumerate(segments()):
-        end = at + F.length(f"p{i}")
-        if label != "O":
-            out.append(F.struct(at.alias("start"), end.alias("end"), F.lit(label).alias("type"), F.col(f"p{i}").alias("text")))
-        at = end
-    return F.array(*out)
+    """The parts with a label, each after the lengths of all before it."""
+    span = "array<struct<start:int,end:int,type:string,text:string>>"
+    state = f"struct<at:int,out:{span}>"
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(span).alias("out")).cast(state)
+
+    def step(acc: Column, p: Column) -> Column:
+        end = acc["at"] + F.length(p["x"])
+        one = F.array(F.struct(acc["at"].alias("start"), end.alias("end"), p["label"].alias("type"), p["x"].alias("text")))
+        return F.struct(end.alias("at"), F.when(p["label"] == "O", acc["out"]).otherwise(F.concat(acc["out"], one)).alias("out")).cast(state)
+
+    labelled = F.arrays_zip(F.array(*[F.lit(label) for label, _ in segments()]).alias("label"), F.col("parts").alias("x"))
+    return F.aggregate(labelled, zero, step, lambda acc: acc["out"])
 
 
 def notes_with_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, text, spans: array<struct<start,end,type,text>>, by prefix sums of the parts' lengths."""
-    return with_segments(spark, sf_dir).select("doc_id", F.concat(*[f"p{i}" for i in range(len(segments()))]).alias("text"), _gold_array().alias("spans"))
+    """doc_id, text, spans: array<struct<start,end,type,text>>."""
+    return with_segments(spark, sf_dir).select("doc_id", F.array_join("parts", "").alias("text"), _gold_array().alias("spans"))
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
