@@ -23,16 +23,18 @@ def tagged(text: Column, spans: Column) -> Column:
     """array<struct<s,e,label>> of the text's tokens with BILOU labels from array<struct<start,end,type>>: a span's
     only token is U, else B, I and L; where spans share a token the later span has it."""
 
+    def owned(t: Column) -> Column:
+        own = F.try_element_at(F.filter(spans, lambda s: (t["end"] > s["start"]) & (t["start"] < s["end"])), F.lit(-1))
+        return F.struct(t["start"].alias("s"), t["end"].alias("e"), own.alias("own"))
+
     def label(t: Column) -> Column:
-        own = F.element_at(F.filter(spans, lambda s: (t["end"] > s["start"]) & (t["start"] < s["end"])), -1)
-        first, last = t["start"] <= own["start"], t["end"] >= own["end"]
-        begins = first | ~F.substring(text, own["start"] + 1, F.greatest(t["start"] - own["start"], F.lit(0))).rlike(r"\S")
-        ends = last | ~F.substring(text, t["end"] + 1, F.greatest(own["end"] - t["end"], F.lit(0))).rlike(r"\S")
+        own = t["own"]
+        begins = (t["s"] <= own["start"]) | ~F.substring(text, own["start"] + 1, F.greatest(t["s"] - own["start"], F.lit(0))).rlike(r"\S")
+        ends = (t["e"] >= own["end"]) | ~F.substring(text, t["e"] + 1, F.greatest(own["end"] - t["e"], F.lit(0))).rlike(r"\S")
         tag = F.when(begins & ends, "U").when(begins, "B").when(ends, "L").otherwise("I")
-        return F.coalesce(F.concat(tag, F.lit("-"), own["type"]), F.lit("O"))
+        return F.struct(t["s"].alias("s"), t["e"].alias("e"), F.when(own.isNull(), "O").otherwise(F.concat(tag, F.lit("-"), own["type"])).alias("label"))
 
-    safe = F.when(F.size(spans) > 0, spans)
-    return F.transform(scan(text, TOKEN), lambda t: F.struct(t["start"].alias("s"), t["end"].alias("e"), F.when(safe.isNull(), "O").otherwise(F.when(F.exists(spans, lambda s: (t["end"] > s["start"]) & (t["start"] < s["end"])), label(t)).otherwise("O")).alias("label")))
+    return F.transform(F.transform(scan(text, TOKEN), owned), label)
 
 
 def records(notes: DataFrame, length: int = LENGTH) -> DataFrame:

@@ -1,10 +1,398 @@
-"""Every query of the engine by name, and the SQL that gives the same rows."""
+"""Every query of the engine by name, over the driver's tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from ..functions import dates, draw, patterns, surrogates, text
+from ..functions import vocab as V
+from ..operators import chunks, detect, evaluate, filters, people, rewrite, spans, training
+from ..sources import notes as N
+from ..sources.staging import cut_plan
+from ..sources.tables import table
+from . import oracles, pipeline
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SPAN = ["doc_id", "start", "end", "type", "text"]
+FIND = ["doc_id", "start", "end", "text"]
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _of_gold(types: str, make: Callable[[Column, Column, Column], Column]) -> Query:
+    """doc_id, text, out of the gold spans of the types; make takes text, key and the note's key."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = N.gold(spark, sf_dir).filter(F.col("type").isin(types.split()))
+        k = surrogates.key_of(0, F.col("doc_id"), F.col("type"), F.col("text"))
+        return rows.select("doc_id", "text", make(F.col("text"), k, draw.key(0, F.col("doc_id"), "place")).alias("out"))
+
+    return run
+
+
+def _found(pattern: str) -> Query:
+    return lambda spark, sf_dir: detect.find(N.notes(spark, sf_dir), pattern, "X").select(*FIND)
+
+
+def _with(spark: SparkSession, sf_dir: str, word: str, type_: str, skip: int = 0, length: int | None = None) -> DataFrame:
+    """Gold spans and, in each note, the word (or the part of it given) as one more span."""
+    n, size = N.notes(spark, sf_dir), length or len(word)
+    start = (F.instr("text", word) - 1 + skip).cast("int")
+    extra = n.withColumn("start", start).filter(F.instr("text", word) > 0).select("doc_id", "start", (F.col("start") + size).alias("end"), F.lit(type_).alias("type"), F.substring("text", F.col("start") + 1, F.lit(size)).alias("text"))
+    return N.gold(spark, sf_dir).select(*SPAN).unionByName(extra)
+
+
+for _name, _pattern in (("email", patterns.EMAIL), ("phone", patterns.PHONE), ("ssn", patterns.SSN), ("zip", patterns.STATE_ZIP), ("date", patterns.DATE), ("room", patterns.ROOM), ("clock", patterns.CLOCK)):
+    QUERIES[f"scan_{_name}"] = _found(_pattern)
+_days = lambda: dates.offset_days(F.col("doc_id"))
+for _name, _types, _make in (
+    ("sur_ssn", "SSN", surrogates.ssn),
+    ("sur_mrn", "MEDICAL_RECORD_NUMBER", surrogates.mrn),
+    ("sur_id", "MEDICAL_RECORD_NUMBER SSN", surrogates.identifier),
+    ("sur_license", "MEDICAL_RECORD_NUMBER EMAIL", surrogates.license_number),
+    ("sur_npi", "MEDICAL_RECORD_NUMBER", surrogates.npi),
+    ("sur_phone", "PHONE_NUMBER", surrogates.phone),
+    ("sur_email", "EMAIL", surrogates.email),
+    ("sur_street", "STREET_ADDRESS", surrogates.street),
+    ("sur_city", "STREET_ADDRESS", lambda t, k, d: surrogates.place(d, 0)),
+    ("sur_state", "STREET_ADDRESS", lambda t, k, d: surrogates.place(d, 1)),
+    ("sur_county", "STREET_ADDRESS", surrogates.county),
+    ("sur_zip", "POSTCODE", surrogates.zip_code),
+    ("shift_dates", "DATE DATE_OF_BIRTH", lambda t, k, d: dates.shift_date(t, _days())),
+    ("shift_embedded", "DATE_OF_BIRTH", lambda t, k, d: dates.shift_date(F.concat(F.lit("on "), t, F.lit(" seen")), _days())),
+    ("shift_datetimes", "DATE_OF_BIRTH", lambda t, k, d: dates.shift_datetime(F.concat(t, F.lit(" 5:54")), _days())),
+    ("date_fallback", "MEDICAL_RECORD_NUMBER", lambda t, k, d: dates.disguise(F.concat(t, F.lit("-Ab")), _days())),
+    ("dob_surrogate", "DATE_OF_BIRTH", lambda t, k, d: dates.birth(t, k)),
+    ("age_cap", "AGE", lambda t, k, d: dates.cap_age(t)),
+    ("preserve_case", "FIRST_NAME", lambda t, k, d: text.like_case(t, F.lit("o'neil mc-donald"))),
+    ("masked_display", "LAST_NAME", lambda t, k, d: text.masked(t)),
+):
+    QUERIES[_name] = _of_gold(_types, _make)
+
+
+@query
+def notes_text(spark, sf_dir):
+    return N.notes(spark, sf_dir)
+
+
+@query
+def notes_gold_spans(spark, sf_dir):
+    return N.gold(spark, sf_dir).select(*SPAN)
+
+
+@query
+def validate_notes(spark, sf_dir):
+    return chunks.validate(N.notes(spark, sf_dir))
+
+
+@query
+def recognizers(spark, sf_dir):
+    return detect.recognize(N.notes(spark, sf_dir)).select(*SPAN)
+
+
+@query
+def recall_title(spark, sf_dir):
+    return detect.by_title(N.notes(spark, sf_dir)).select(*SPAN)
+
+
+@query
+def recall_credential(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer")
+    first, last = N._choice(F.col("c_custkey"), N.FIRST), N._choice(F.col("c_custkey"), N.LAST)
+    signed = F.concat(F.lit("Signed: "), F.initcap(first), F.lit(" "), last, F.lit(", MD on duty"))
+    return detect.by_credential(rows.select(F.col("c_custkey").alias("doc_id"), signed.alias("text"))).select(*SPAN)
+
+
+@query
+def recall_gazetteer(spark, sf_dir):
+    return detect.by_gazetteer(N.notes(spark, sf_dir), ["Mccoy", "Kowalczyk", "Garcia"]).select(*SPAN)
+
+
+@query
+def patient_top_name(spark, sf_dir):
+    return people.patients(N.gold(spark, sf_dir))
+
+
+@query
+def patient_sex(spark, sf_dir):
+    return N.notes(spark, sf_dir).select("doc_id", people.sex(F.col("text")).alias("sex"))
+
+
+@query
+def patient_sweep(spark, sf_dir):
+    gold = N.gold(spark, sf_dir)
+    return people.sweep(N.notes(spark, sf_dir), gold.filter(F.col("type") == "FIRST_NAME"), people.patients(gold)).select(*SPAN)
+
+
+@query
+def resolve_override(spark, sf_dir):
+    return people.overrides(people.patients(N.gold(spark, sf_dir)), N.notes(spark, sf_dir))
+
+
+@query
+def whitelist_anti(spark, sf_dir):
+    return filters.drop_medical(_with(spark, sf_dir, "clozapine", "LAST_NAME")).select(*SPAN)
+
+
+@query
+def whitelist_pair_filter(spark, sf_dir):
+    gap = _with(spark, sf_dir, "Anion Gap", "LAST_NAME", 6, 3)
+    both = gap.unionByName(_with(spark, sf_dir, "Anion Gap", "FIRST_NAME", 0, 5).filter(F.col("text") == "Anion"))
+    return filters.drop_medical_pairs(both).select(*SPAN)
+
+
+@query
+def timeword_filter(spark, sf_dir):
+    return filters.drop_time_words(_with(spark, sf_dir, "year old", "DATE", 0, 4)).select(*SPAN)
+
+
+@query
+def safe_veto(spark, sf_dir):
+    clock = _with(spark, sf_dir, "ARRIVE\t", "DATE", 9, 2)
+    room = _with(spark, sf_dir, "Location: RM", "POSTCODE", 10, 4).filter(F.col("text").startswith("RM"))
+    return filters.veto_safe(clock.unionByName(room), N.notes(spark, sf_dir)).select(*SPAN)
+
+
+def _halves(gold: DataFrame) -> DataFrame:
+    """Ten-character dates as month and the rest, other spans as they are."""
+    long = F.col("type").isin("DATE", "DATE_OF_BIRTH") & (F.length("text") == 10)
+    part = lambda a, b: F.struct((F.col("start") + a).alias("start"), (F.col("start") + b).alias("end"), F.col("type"), F.substring("text", a + 1, b - a).alias("text"))
+    one = F.struct("start", "end", "type", "text")
+    return gold.select("doc_id", F.explode(F.when(long, F.array(part(0, 2), part(3, 10))).otherwise(F.array(one))).alias("s")).select("doc_id", "s.*")
+
+
+@query
+def merge_same_type(spark, sf_dir):
+    return spans.merge_same_type(_halves(N.gold(spark, sf_dir)), N.notes(spark, sf_dir))
+
+
+@query
+def merge_dates(spark, sf_dir):
+    rows = _halves(N.gold(spark, sf_dir)).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "type", "text")).alias("s")).join(N.notes(spark, sf_dir), "doc_id")
+    return rows.select("doc_id", F.explode(spans.merge_dates(F.col("s"), F.col("text"))).alias("x")).select("doc_id", "x.*")
+
+
+@query
+def combine_names(spark, sf_dir):
+    return spans.combine_names(N.gold(spark, sf_dir), N.notes(spark, sf_dir))
+
+
+@query
+def split_names(spark, sf_dir):
+    rows = N.notes(spark, sf_dir).withColumn("start", F.instr("text", "Dr. ").cast("int") - 1)
+    size = F.length(F.regexp_extract("text", r"Dr\. [A-Za-z]+", 0))
+    rows = rows.select("doc_id", "start", (F.col("start") + size).alias("end"), F.lit("NAME").alias("type"), F.substring("text", F.col("start") + 1, size).alias("text"))
+    return spans.split_names(rows)
+
+
+@query
+def dedupe_chunks(spark, sf_dir):
+    gold = N.gold(spark, sf_dir)
+    twice = gold.unionByName(gold.withColumn("start", F.col("start") + F.when(F.length("text") > 4, 1).otherwise(0)))
+    rows = twice.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "type")).alias("s"))
+    return rows.select("doc_id", F.explode(spans.dedupe_overlaps(F.col("s"))).alias("x")).select("doc_id", "x.*")
+
+
+def _bent(gold: DataFrame, type_: str, left: int, right: int, notes: DataFrame) -> DataFrame:
+    """Spans of the type with ends moved (positive: inward), with their new text."""
+    rows = gold.filter(F.col("type") == type_).drop("text").join(notes, "doc_id")
+    start, end = F.col("start") + left, F.col("end") - right
+    return rows.select("doc_id", start.alias("start"), end.alias("end"), "type", text.cut(F.col("text"), start, end).alias("text"))
+
+
+@query
+def repair_fragments(spark, sf_dir):
+    n = N.notes(spark, sf_dir)
+    return spans.repair_fragments(_bent(N.gold(spark, sf_dir), "LAST_NAME", 2, 0, n), n)
+
+
+@query
+def repair_ids(spark, sf_dir):
+    n, gold = N.notes(spark, sf_dir), N.gold(spark, sf_dir)
+    return spans.repair_identifiers(_bent(gold, "MEDICAL_RECORD_NUMBER", 6, 0, n).unionByName(gold.filter(F.col("type") == "SSN").select(*SPAN)), n)
+
+
+@query
+def complete_street(spark, sf_dir):
+    n = N.notes(spark, sf_dir)
+    return spans.repair_identifiers(_bent(N.gold(spark, sf_dir), "STREET_ADDRESS", 1, 1, n), n)
+
+
+@query
+def trim_ids(spark, sf_dir):
+    return spans.trim_identifiers(_bent(N.gold(spark, sf_dir), "MEDICAL_RECORD_NUMBER", -2, -1, N.notes(spark, sf_dir)))
+
+
+@query
+def date_trim(spark, sf_dir):
+    return spans.trim_dates(_bent(N.gold(spark, sf_dir), "DATE_OF_BIRTH", 0, -2, N.notes(spark, sf_dir)))
+
+
+@query
+def dob_retype(spark, sf_dir):
+    return spans.retype_births(N.gold(spark, sf_dir), N.notes(spark, sf_dir))
+
+
+@query
+def overlap_resolution(spark, sf_dir):
+    gold = N.gold(spark, sf_dir)
+    inner = gold.filter(F.length("text") > 4).select("doc_id", (F.col("start") + 1).alias("start"), "end", F.lit("UNIQUE_ID").alias("type"), F.substring("text", 2, 99).alias("text"))
+    return spans.resolve_overlaps(gold.select(*SPAN).unionByName(inner))
+
+
+@query
+def sur_names_unique(spark, sf_dir):
+    return people.unique_names(people.name_tokens(N.gold(spark, sf_dir)))
+
+
+@query
+def rewrite_notes(spark, sf_dir):
+    rows = N.notes_with_spans(spark, sf_dir)
+    marked = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), s["type"], F.lit("]")).alias("surrogate")))
+    return rows.select("doc_id", rewrite.splice(F.col("text"), marked).alias("text"))
+
+
+@query
+def patient_backstop(spark, sf_dir):
+    last = F.array(*[F.struct(F.lit(w.lower()).alias("token"), F.lit("Xyz").alias("surrogate")) for w in N.LAST])
+    return N.notes(spark, sf_dir).select("doc_id", rewrite.replace_tokens(F.col("text"), last).alias("text"))
+
+
+@query
+def date_digit_sanitize(spark, sf_dir):
+    return N.notes(spark, sf_dir).select("doc_id", rewrite.trim_date_digits(F.regexp_replace("text", r"(\d\d/\d\d/\d{4})", "$199")).alias("text"))
+
+
+@query
+def dob_cleanup(spark, sf_dir):
+    return N.notes(spark, sf_dir).select("doc_id", rewrite.clean_births(F.regexp_replace("text", "\nMRN", " rest of it\nMRN")).alias("text"))
+
+
+@query
+def zip_backstop(spark, sf_dir):
+    none = F.array().cast("array<string>")
+    return N.notes(spark, sf_dir).select("doc_id", rewrite.zip_backstop(F.col("text"), draw.key(0, F.col("doc_id"), "place"), none).alias("text"))
+
+
+def _deidentified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipeline.deidentify(N.notes(spark, sf_dir), N.gold(spark, sf_dir).select(*SPAN))
+
+
+@query
+def deid_full(spark, sf_dir):
+    return _deidentified(spark, sf_dir).select("doc_id", "text", F.size("spans").alias("n_spans"))
+
+
+@query
+def surrogate_map(spark, sf_dir):
+    gold = N.gold(spark, sf_dir)
+    names = cut_plan(people.unique_names(people.name_tokens(gold)))
+    out = cut_plan(rewrite.rewrite(N.notes(spark, sf_dir), cut_plan(rewrite.with_surrogates(gold.select(*SPAN), names))))
+    return rewrite.surrogate_map(out).select("doc_id", "original", "surrogate", "type", "collision")
+
+
+@query
+def leak_after_deid(spark, sf_dir):
+    out = evaluate.leaks(_deidentified(spark, sf_dir), N.gold(spark, sf_dir), ["FIRST_NAME", "LAST_NAME"])
+    return out.agg(F.count("*").alias("leaks"))
+
+
+@query
+def leak_residual(spark, sf_dir):
+    return evaluate.leaks(N.notes(spark, sf_dir), N.gold(spark, sf_dir), ["FIRST_NAME", "LAST_NAME"])
+
+
+@query
+def score_by_type(spark, sf_dir):
+    return evaluate.recall_by_type(N.gold(spark, sf_dir), detect.recognize(N.notes(spark, sf_dir)))
+
+
+@query
+def score_precision(spark, sf_dir):
+    return evaluate.precision_by_type(N.gold(spark, sf_dir), detect.find(N.notes(spark, sf_dir), patterns.CLOCK, "DATE").select(*SPAN))
+
+
+@query
+def malformed_dates(spark, sf_dir):
+    return N.notes(spark, sf_dir).select("doc_id", evaluate.malformed_dates(F.regexp_replace("text", r"\d(\d)/\d(\d)/(\d{4})", "$1/$2/$399")).alias("n"))
+
+
+@query
+def gaz_delta(spark, sf_dir):
+    n = N.notes(spark, sf_dir)
+    found = detect.by_gazetteer(n, ["Garcia", "Smith", "Kowalczyk"]).select("doc_id", "start", "end")
+    return found.exceptAll(N.gold(spark, sf_dir).filter(F.col("text") == "Smith").select("doc_id", "start", "end"))
+
+
+@query
+def bilou_labels(spark, sf_dir):
+    return spark.createDataFrame(evaluate.label_table(), "label_id int, label string, tag string, type string")
+
+
+def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = N.notes_with_spans(spark, sf_dir)
+    return rows.select("doc_id", training.tagged(F.col("text"), F.col("spans")).alias("t"))
+
+
+@query
+def spans_to_bilou(spark, sf_dir):
+    return _tagged(spark, sf_dir).select("doc_id", F.explode("t").alias("x")).groupBy("x.label").agg(F.count("*").alias("n"))
+
+
+@query
+def bilou_decode(spark, sf_dir):
+    return _tagged(spark, sf_dir).select("doc_id", F.explode(detect.decode_bilou(F.col("t"))).alias("s")).select("doc_id", "s.type", "s.start", "s.end")
+
+
+@query
+def class_weights(spark, sf_dir):
+    tags = _tagged(spark, sf_dir).select(F.explode("t").alias("x")).select("x.label")
+    return evaluate.class_weights(tags, bilou_labels(spark, sf_dir)).select("label", "n")
+
+
+@query
+def token_metrics(spark, sf_dir):
+    rows = table(spark, sf_dir, "labels").select(F.when(F.col("quality") == 1, "B-X").otherwise("O").alias("gold"), F.when(F.col("toxic") == 1, "B-X").when(F.col("doc_id") % 3 == 0, "B-X").otherwise("O").alias("pred"))
+    return evaluate.token_metrics(rows)
+
+
+@query
+def split_80_20(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", training.in_training(F.col("doc_id")).alias("train"))
+
+
+@query
+def chunk_notes(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return chunks.chunk(rows, limit=400, size=300, overlap=40).select("doc_id", "chunk_id", "start_char", "end_char")
+
+
+@query
+def sentence_boundary(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", chunks.boundary(F.col("text"), F.lit(250)).alias("at"))
+
+
+@query
+def domain_histogram(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"))
+
+
+@query
+def distinct_labels(spark, sf_dir):
+    return N.gold(spark, sf_dir).select("type").distinct()
+
+
+@query
+def top_tokens(spark, sf_dir):
+    words = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]{4,}"), F.lit(0))).alias("token"))
+    return words.groupBy("token").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "token").limit(40)
+
+
+SQL: dict[str, str] = {name: sql for name, sql in oracles.all_sql().items() if name in QUERIES}
