@@ -83,6 +83,39 @@ def test_repeated_passages_equal_brute_force(spark):
     assert 3 not in left and shared in left[0] and shared not in left[1] and left[4] == texts[4] and left[5] is None
 
 
+def repeated_words(texts):
+    """(later ones, all) of the (text, word) in passages of 50 words that another text holds too, by brute force."""
+    where, both, later = defaultdict(set), set(), set()
+    split = [t.split() for t in texts]
+    for i, w in enumerate(split):
+        for p in range(len(w) - 49):
+            where[tuple(w[p : p + 50])].add(i)
+    for i, w in enumerate(split):
+        for p in range(len(w) - 49):
+            docs = where[tuple(w[p : p + 50])]
+            if len(docs) > 1:
+                both.update((i, x) for x in range(p, p + 50))
+                if min(docs) < i:
+                    later.update((i, x) for x in range(p, p + 50))
+    return later, both
+
+
+def found_words(rows, kind):
+    return {(r["doc_id"], x) for r in rows if kind(r) for x in range(r["start_word"], r["end_word"])}
+
+
+def test_edited_near_copies_equal_brute_force(spark):
+    rng = random.Random(11)
+    texts = []
+    for _ in range(6):
+        base = words(rng, 400).split()
+        for _ in range(40):
+            texts.append(" ".join(words(rng, 1) if rng.random() < 0.03 else w for w in base))
+    got = suffix.repeated(table(spark, texts)).collect()
+    later, both = repeated_words(texts)
+    assert found_words(got, lambda r: r["later"]) == later and found_words(got, lambda r: True) == both
+
+
 @pytest.mark.parametrize("hot", [3, 20_000])
 def test_hot_anchors_lose_nothing(spark, monkeypatch, hot):
     monkeypatch.setattr(suffix, "HOT", hot)

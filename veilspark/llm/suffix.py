@@ -1,11 +1,10 @@
-"""Operator 4: repeated passages by a sparse suffix array over minimiser positions."""
+"""Operator 4: repeated passages, looked up at minimiser positions."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,20 +16,23 @@ from .words import window_hashes, word_spans
 PASSAGE = 50  # words that a repeated passage has at least
 ANCHOR = 20  # words of a suffix that its hash covers
 SPAN = PASSAGE - ANCHOR + 1  # anchors of which one is kept: any passage holds a whole such window
-REACH = PASSAGE - ANCHOR  # words on either side of an anchor that are compared
-BYTES = 3  # of a word's hash in such a context
-HOT = 20_000  # different contexts of one anchor that are sorted in one task
-PREFIX = REACH // 2  # two contexts that make a passage agree in so many words on one side at least
+HOT = 20_000  # of no effect: all suffixes of an anchor are compared in the same way, however many there are
 
 
-def anchors_of(hashes: np.ndarray) -> np.ndarray:
-    """Positions of the suffixes that are kept: in each window of SPAN neighbouring anchor hashes the least, the
-    first of equals. What is kept depends on the window's words alone, so equal windows keep the same place."""
+def anchors_by_window(hashes: np.ndarray) -> np.ndarray:
+    """For each passage of PASSAGE words, in order, the position of its anchor: the least of its SPAN anchor hashes,
+    the first of equals. It depends on the passage's words alone and never goes back from one passage to the next."""
     g = window_hashes(hashes, ANCHOR)
     if len(g) < SPAN:
         return np.zeros(0, np.int64)
-    least = np.lib.stride_tricks.sliding_window_view(g, SPAN).argmin(axis=1) + np.arange(len(g) - SPAN + 1)
-    return least[np.concatenate([[True], least[1:] != least[:-1]])]
+    return np.lib.stride_tricks.sliding_window_view(g, SPAN).argmin(axis=1) + np.arange(len(g) - SPAN + 1)
+
+
+def anchors_of(hashes: np.ndarray) -> np.ndarray:
+    """Positions of the suffixes that are kept: the anchors of all passages, so that equal passages keep the same
+    place."""
+    least = anchors_by_window(hashes)
+    return least[np.concatenate([[True], least[1:] != least[:-1]])] if len(least) else least
 
 
 def _anchors(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -46,118 +48,24 @@ def _anchors(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs)), pa.array(np.concatenate(at)), pa.array(np.concatenate(hs).view(np.int64))], ["doc", "pos", "h"])
 
 
-def _contexts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each kept suffix the words around it, as hashes: to the right from the anchor's end, to the left
-    backwards; left and right say how many there are."""
+def _windows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each kept suffix the passages of PASSAGE words whose anchor it is, as hashes: start is the word the first
+    of them begins with, each next one begins a word later."""
     for p in parts:
-        cols: list[list] = [[], [], [], [], [], [], []]
+        docs, at, sizes, hs = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
         for doc, text, places in zip(p.column("doc_id").to_pylist(), p.column("text").to_pylist(), p.column("places").to_pylist()):
             h = word_spans(text.encode("utf-8", "surrogatepass"))[2]
-            at = np.unique(np.array(places, np.int64))
-            g = window_hashes(h, ANCHOR)[at]
-            small = h.view(np.uint8).reshape(-1, 8)[:, :BYTES]
-            for pos, x in zip(at.tolist(), g.view(np.int64).tolist()):
-                right = small[pos + ANCHOR : pos + PASSAGE].tobytes()
-                left = small[max(0, pos - REACH) : pos][::-1].tobytes()
-                for c, v in zip(cols, (doc, pos, x, len(left) // BYTES, len(right) // BYTES, left, right)):
-                    c.append(v)
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc", "pos", "h", "l", "r", "left", "right"])
-
-
-def _common(a: bytes, b: bytes) -> int:
-    """Words that two contexts have in common at their beginning."""
-    n = min(len(a), len(b))
-    if a[:n] == b[:n]:
-        return n // BYTES
-    x = int.from_bytes(a[:n], "big") ^ int.from_bytes(b[:n], "big")
-    return (n - (x.bit_length() + 7) // 8) // BYTES
-
-
-def _earlier(order: list[int], key: list[tuple[int, int]], docs: list[int]) -> Iterator[tuple[int, int]]:
-    """(i, j) for each i and the nearest j before it in the order that is earlier by key and of another document:
-    none between them is earlier, so no earlier one before j shares more with i."""
-    stack: list[int] = []
-    for i in order:
-        while stack and key[stack[-1]] > key[i]:
-            stack.pop()
-        for j in reversed(stack):
-            if docs[j] != docs[i]:
-                yield i, j
-                break
-        stack.append(i)
-
-
-def matches(rows: list[tuple[int, int, bytes, bytes]]) -> list[tuple[int, int, int, int]]:
-    """Repeated passages among the suffixes (doc, pos, left, right) of one anchor: (i, j, words to the left, words
-    to the right) for rows i and j of which j is the earlier.
-
-    The suffixes are sorted by what follows, and once more by what precedes; each is compared with the nearest
-    earlier suffix on either side, and the match is extended right and left.
-    """
-    out = []
-    key, docs = [(d, p) for d, p, _, _ in rows], [d for d, _, _, _ in rows]
-    tried: set[tuple[int, int]] = set()
-    for side in (3, 2):
-        order = sorted(range(len(rows)), key=lambda i: (rows[i][side], key[i]))
-        for way in (order, order[::-1]):
-            for i, j in _earlier(way, key, docs):
-                if (i, j) not in tried:
-                    tried.add((i, j))
-                    l, r = _common(rows[i][2], rows[j][2]), ANCHOR + _common(rows[i][3], rows[j][3])
-                    if l + r >= PASSAGE:
-                        out.append((i, j, l, r))
-    return out
-
-
-_FOUND = "c long, doc long, pos long, l long, r long, other long, later int"
-
-
-def _compare(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows in order of unit: one unit is held at a time."""
-    names = [x.split()[0] for x in _FOUND.split(", ")]
-    unit, rows, marks = None, [], []
-
-    def close() -> list:
-        out = []
-        for i, j, l, r in matches(rows) if len(rows) > 1 else ():
-            out.append((marks[i], *rows[i][:2], l, r, rows[j][0], 1))
-            out.append((marks[j], *rows[j][:2], l, r, rows[i][0], 0))
-        return out
-
-    def frame(out: list) -> pd.DataFrame:
-        return pd.DataFrame(np.array(out, np.int64).reshape(-1, len(names)), columns=names).astype({"later": "int32"})
-
-    for p in parts:
-        out: list = []
-        for u, c, *row in zip(zip(p["h"].tolist(), p["part"].tolist()), p["c"].tolist(), p["doc"].tolist(), p["pos"].tolist(), p["left"], p["right"]):
-            if u != unit:
-                out += close()
-                unit, rows, marks = u, [], []
-            rows.append(tuple(row))
-            marks.append(c)
-        yield frame(out)
-    yield frame(close())
-
-
-def _dealt(reps: DataFrame) -> DataFrame:
-    """reps with the part of its anchor's group that each is compared in: the whole group, or, where it has over HOT
-    different contexts, those that agree in PREFIX words on the right, and once more those that do on the left.
-    Any two that make a passage agree so on one side. Parts that are still larger are split by a hash, each with
-    the group's earliest suffix."""
-    counts = reps.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
-    several = reps.join(counts, "h")
-    usual = several.filter(F.col("n") <= HOT).withColumn("part", F.lit(0).cast("long"))
-    hot = several.filter(F.col("n") > HOT)
-    near = [hot.withColumn("part", F.xxhash64(F.lit(s), F.substring(s, 1, PREFIX * BYTES))) for s in ("right", "left")]
-    hot = near[0].unionByName(near[1])
-    sizes = hot.groupBy("h", "part").agg(F.count("*").alias("m"), F.min(F.struct("doc", "pos", "c", "left", "right")).alias("first"))
-    split = hot.join(sizes, ["h", "part"]).withColumn("cuts", F.ceil(F.col("m") / HOT).cast("int"))
-    heads = sizes.withColumn("cuts", F.ceil(F.col("m") / HOT).cast("int")).filter("cuts > 1").select("h", "part", "first", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"))
-    heads = heads.select("h", F.xxhash64("part", F.col("cut").cast("long")).alias("part"), "first.*")
-    cols = ["h", "part", "c", "doc", "pos", "left", "right"]
-    split = split.withColumn("part", F.xxhash64("part", F.pmod(F.xxhash64("doc", "pos"), F.col("cuts")).cast("long"))).select(*cols)
-    return usual.select(*cols).unionByName(split.unionByName(heads.select(*cols)))
+            least = anchors_by_window(h)
+            kept = np.flatnonzero(np.isin(least, places))
+            if len(kept):
+                first = np.flatnonzero(np.diff(least[kept], prepend=-1))
+                docs.append(np.full(len(first), doc, np.int64))
+                at.append(kept[first].astype(np.int32))
+                sizes.append(np.diff(first, append=len(kept)))
+                hs.append(window_hashes(h, PASSAGE)[kept])
+        ends = np.cumsum(np.concatenate([np.zeros(1, np.int64), *sizes])).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(hs).view(np.int64)))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs)), pa.array(np.concatenate(at)), lists], ["doc", "start", "passages"])
 
 
 def repeated(docs: DataFrame) -> DataFrame:
@@ -165,37 +73,37 @@ def repeated(docs: DataFrame) -> DataFrame:
     of at least 50 words that another document holds too, joined where they overlap.
 
     later is true where a document with a smaller doc_id holds the passage, so that dropping the later ones keeps
-    each passage once; other_doc is one that shares it. Words are what lies between spaces and U+0009 to U+000D.
-    Passages that repeat within one document alone do not count, nor do shorter ones; null and empty texts have
-    none; rows without doc_id take no part; repeated rows of a doc_id are one document. An empty table gives an
+    each passage once; other_doc is one that shares it. Words that lie in a passage of 50 words which no document
+    with a smaller doc_id holds are in a row with later false. Words are what lies between spaces and U+0009 to
+    U+000D. Passages that repeat within one document alone do not count, nor do shorter ones; null and empty texts
+    have none; rows without doc_id take no part; repeated rows of a doc_id are one document. An empty table gives an
     empty result; other columns are left alone.
 
-    Suffixes are kept at minimisers of 20-word hashes, so any 50 common words have a suffix in common. Those
-    whose hash another document has are looked up with 30 words on either side. Equal contexts meet in a minimum
-    that is taken before the shuffle; one of each goes on to be sorted and compared with its neighbours.
+    Suffixes are kept at minimisers of 20-word hashes, so any 50 common words have a suffix in common. For those
+    whose hash another document has, all passages of 50 words that have the suffix as their minimiser are looked up
+    by the least and the largest doc_id of each: every passage has one minimiser, so none is left out, whatever the
+    number of documents that share a suffix. Suffixes with equal passages are looked up once.
     """
     rows = small_batches(docs).select("doc_id", "text").filter("doc_id is not null and text is not null")
     kept = written(rows.mapInArrow(_anchors, "doc long, pos int, h long"), "suffixes")
     shared = kept.groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a < b").select("h")
     places = kept.join(shared, "h", "left_semi").groupBy("doc").agg(F.collect_set("pos").alias("places"))
     text = rows.join(places, rows["doc_id"] == places["doc"]).select("doc_id", "text", "places")
-    ctx = text.mapInArrow(_contexts, "doc long, pos int, h long, l int, r int, left binary, right binary")
-    ctx = written(ctx.withColumn("c", F.xxhash64("h", "left", F.lit("|"), "right")), "contexts")
-    first = F.min(F.struct("doc", "pos", "left", "right")).alias("first")
-    reps = written(ctx.groupBy("h", "c").agg(first, F.max("doc").alias("last")).select("h", "c", "last", "first.*"), "suffixes-first")
-    near = _dealt(reps.select("h", "c", "doc", "pos", "left", "right"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = written(near.repartition(parts, "h", "part").sortWithinPartitions("h", "part").mapInPandas(_compare, _FOUND), "matches")
-    own = reps.select("c", F.col("doc").alias("first_doc"), F.col("pos").alias("first_pos"), "last")
-    members = ctx.select("c", "doc", F.col("pos").cast("long").alias("pos"), "l", "r").join(own, "c")
-    whole = members.filter(F.col("l") + F.col("r") + ANCHOR >= PASSAGE).filter("last > first_doc")
-    later = F.col("doc") > F.col("first_doc")
-    whole = whole.select("doc", (F.col("pos") - F.col("l")).alias("start"), (F.col("pos") + ANCHOR + F.col("r")).alias("stop"), F.when(later, F.col("first_doc")).otherwise(F.col("last")).alias("other"), later.cast("int").alias("later"))
-    span = ["doc", (F.col("pos") - F.col("l")).alias("start"), (F.col("pos") + F.col("r")).alias("stop"), "other", "later"]
-    # A suffix that its document has several times with equal contexts was compared once, for all of its places.
-    again = members.filter("doc = first_doc and pos <> first_pos").select("c", F.col("pos").alias("place"))
-    again = found.join(again, "c").withColumn("pos", F.col("place")).select(*span)
-    return _joined(found.select(*span).unionByName(again).unionByName(whole))
+    sets = text.mapInArrow(_windows, "doc long, start int, passages array<long>")
+    sets = written(sets.withColumn("c", F.xxhash64("passages")), "passages")
+    once = sets.groupBy("c").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.first("passages").alias("passages"))
+    once = written(once, "passages-once")
+    wide = once.select("c", "first", "last", F.posexplode("passages").alias("k", "w"))
+    # Written, so that Spark can split the join where very many suffixes share a passage.
+    held = written(wide.groupBy("w").agg(F.min("first").alias("least"), F.max("last").alias("most")).filter("least < most"), "passages-held")
+    later = F.col("least") < F.col("first")
+    found = wide.join(held, "w").select("c", "k", later.cast("int").alias("later"), F.when(later, F.col("least")).otherwise(F.col("most")).alias("other"))
+    # Passages of one minimiser begin at most 30 words apart, so they overlap and are one span.
+    found = found.groupBy("c", "later").agg(F.min("k").alias("k"), F.max("k").alias("k_last"), F.min("other").alias("other"))
+    members = sets.select("c", "doc", F.col("start").cast("long").alias("start"), F.size("passages").alias("n")).join(once.select("c", "first"), "c")
+    own = members.filter("doc = first").join(found, "c").select("doc", (F.col("start") + F.col("k")).alias("start"), (F.col("start") + F.col("k_last") + PASSAGE).alias("stop"), "other", "later")
+    rest = members.filter("doc > first").select("doc", "start", (F.col("start") + F.col("n") - 1 + PASSAGE).alias("stop"), F.col("first").alias("other"), F.lit(1).alias("later"))
+    return _joined(own.unionByName(rest))
 
 
 def _joined(spans: DataFrame) -> DataFrame:
