@@ -127,6 +127,21 @@ def test_hot_anchors_lose_nothing(spark, monkeypatch, hot):
     assert {r["doc_id"] for r in got if r["later"]} == set(range(1, 12))
 
 
+def test_hot_anchors_find_what_the_head_lacks(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "HOT", 3)
+    rng = random.Random(12)
+    line = words(rng, 40)  # in all documents; too short to be a passage by itself
+    ends = [(words(rng, 8), words(rng, 8)) for _ in range(8)]
+    texts = [words(rng, 40) + " " + line + " " + words(rng, 40)]
+    for i in range(40):  # five documents share each pair of ends around the line, the first document none
+        a, b = ends[i % 8]
+        texts.append(" ".join([words(rng, 40), a, line, b, words(rng, 40)]))
+    got = suffix.repeated(table(spark, texts)).collect()
+    later, both = repeated_words(texts)
+    assert found_words(got, lambda r: r["later"]) == later and found_words(got, lambda r: True) == both
+    assert {i for i, _ in both} == set(range(1, 41))
+
+
 def test_bpe_equals_tiktoken(spark):
     import public_tokenizers as P
     import tiktoken
