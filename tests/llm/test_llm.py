@@ -199,6 +199,28 @@ def test_fingerprints_are_homomorphic(spark):
     assert got["p"] == v[0] and got["m"] == v[2] and got["s"] == 1.0
 
 
+def test_fingerprints_of_very_long_repeats(spark):
+    import duckdb
+    from pyspark.sql import functions as F
+
+    other = "Something else. And more!"
+    texts = ["One two. " * n + tail for n, tail in ((20_000, ""), (10_000, ""), (5_000, ""), (16_384, other), (0, other))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    v = {r["doc_id"]: r["vec"] for r in fingerprints.vectors(df, ["doc_id"], "text").collect()}
+    pairs = spark.createDataFrame([(0, v[0], v[1]), (1, v[1], v[2]), (2, v[0], v[2]), (3, v[3], v[4])], "i int, a array<long>, b array<long>")
+    near = {r["i"]: r["s"] for r in pairs.select("i", fingerprints.likeness(F.col("a"), F.col("b")).alias("s")).collect()}
+    assert near[0] == near[1] == pytest.approx(0.8) and near[2] == pytest.approx(1 - 225 / 425) and near[3] < 0.01
+    back = spark.createDataFrame([(v[1], v[0], v[2])], "a array<long>, b array<long>, c array<long>")
+    both = fingerprints.combine(fingerprints.combine(F.col("a"), F.col("b"), -1), F.col("b"))
+    assert back.select(both.alias("x")).first()["x"] == v[1]
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", list(enumerate(texts))[:3])
+    got = sorted(map(tuple, fingerprints.fingerprint_documents(df.filter("doc_id < 3")).collect()))
+    want = sorted(con.execute(fingerprints.SQL).fetchall())
+    assert [r[:5] for r in got] == [r[:5] for r in want] and [r[5:] for r in got] == [pytest.approx(r[5:]) for r in want]
+
+
 def test_chat_keeps_maximal_conversations(spark):
     rows = [(1, 0, "user", "hi"), (2, 0, "user", "hi"), (2, 1, "assistant", "yo"), (3, 0, "user", "hi"), (3, 1, "assistant", "yo"), (4, 0, None, "hi"), (None, 0, "user", "x")]
     got = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 # A paragraph is a piece that ends with a line or sentence end and the blanks after it; the pieces of a text
 # joined in order are the text.
 PARAGRAPH = r"[^.!?\n]*[.!?\n][.!? \t\r\n]*|[^.!?\n]+"
-BITS = 14  # of a lane: sums are modulo 2^14
+BITS = 30  # of a lane: sums are modulo 2^30, more than the paragraphs of any text of under 2^31 bytes
 MOD = 1 << BITS
+SHOWN = 1 << 14  # a fingerprint shows lanes and count modulo this
 LANES = 128  # the bits of an MD5
 PAIRS = LANES // 2  # lanes i and i + 32 of 64 hash bits share a long, as fields of 32 bits that sums never fill
 ONES = 0x0000000100000001
@@ -25,9 +26,9 @@ def _hex64(h: Column, at: int) -> Column:
 def vectors(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
     """keys and vec, the sum of the vectors of the paragraphs of text, for each of rows (keys must be unique).
 
-    A paragraph's vector is 0 or 1 in each of 128 lanes: the bits of its MD5. Sums modulo 2^14 do not depend on
+    A paragraph's vector is 0 or 1 in each of 128 lanes: the bits of its MD5. Sums modulo 2^30 do not depend on
     the order; vectors of parts add up, and a paragraph is inserted or deleted by adding or subtracting its
-    vector (combine). vec holds 64 longs of two lanes each and the number of paragraphs, all modulo 2^14. Null
+    vector (combine). vec holds 64 longs of two lanes each and the number of paragraphs, all modulo 2^30. Null
     counts as the empty text, which has no paragraph.
     """
     parts = rows.select(*keys, F.explode_outer(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PARAGRAPH), F.lit(0))).alias("_p"))
@@ -39,7 +40,7 @@ def vectors(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
 
 
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
-    """Lane by lane a + b, or a - b for sign -1, modulo 2^14: the vector of both parts, or of a without b."""
+    """Lane by lane a + b, or a - b for sign -1, modulo 2^30: the vector of both parts, or of a without b."""
     if sign > 0:
         return F.zip_with(a, b, lambda x, y: (x + y).bitwiseAND(F.lit(FIELDS)))
     borrow = F.lit(ONES << BITS)  # a bit above each lane pays what subtraction borrows
@@ -47,8 +48,8 @@ def combine(a: Column, b: Column, sign: int = 1) -> Column:
 
 
 def shown(vec: Column) -> Column:
-    """The vector as text: 4 hex digits a lane, 8 for the number of paragraphs."""
-    packed = lambda w: F.shiftright(w, 16).bitwiseAND(F.lit((MOD - 1) << 16)).bitwiseOR(w.bitwiseAND(F.lit(MOD - 1)))
+    """The vector as text: 4 hex digits a lane, 8 for the number of paragraphs, all modulo 2^14."""
+    packed = lambda w: F.shiftright(w, 16).bitwiseAND(F.lit((SHOWN - 1) << 16)).bitwiseOR(w.bitwiseAND(F.lit(SHOWN - 1)))
     return F.array_join(F.transform(vec, lambda w: F.lpad(F.lower(F.hex(packed(w))), 8, "0")), "")
 
 
@@ -57,10 +58,10 @@ def likeness(a: Column, b: Column) -> Column:
 
     With lanes 2c - n (a paragraph counts as plus or minus one) squared length estimates the sum of squared
     counts, so this is near the share of common paragraphs for texts without repeats. Equal vectors: 1; one of
-    them empty: 0.
+    them empty: 0. Right for up to 2^27 paragraphs each, then the squares leave a long.
     """
 
-    def signed(v: Column) -> Column:  # modulo 2^14, as -2^13 .. 2^13 - 1
+    def signed(v: Column) -> Column:  # modulo 2^30, as -2^29 .. 2^29 - 1
         return (v + MOD // 2).bitwiseAND(F.lit(MOD - 1)) - MOD // 2
 
     def square(*vecs: Column) -> Column:
