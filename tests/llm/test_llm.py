@@ -46,6 +46,19 @@ def test_simhash_links_equal_brute_force(spark):
     assert [got[i]["component_id"] for i in range(len(f))] == comp
 
 
+def test_one_of_each_keeps_rows_without_id(spark):
+    rng = random.Random(13)
+    base = [words(rng, 400) for _ in range(8)]
+    near = base[0].rsplit(" ", 1)[0]  # the last word cut off
+    assert 0 < (simhash.fingerprint(base[0]) ^ simhash.fingerprint(near)).bit_count() <= 3
+    rows = [(1, base[0]), (None, near), *[(None, t) for t in base[1:5]], (None, base[1]), (7, base[5]), (7, base[6]), (7, base[6]), (8, base[7])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["text"]) for r in simhash.one_of_each(docs).collect())
+    assert got == Counter([(1, base[0]), *[(None, t) for t in base[1:5]], (7, base[5]), (7, base[6]), (8, base[7])])
+    comps = Counter(r["component_id"] for r in simhash.near_duplicates(docs).collect())
+    assert comps == Counter({1: 2, None: 5, 7: 3, 8: 1})
+
+
 def test_large_groups_are_cut_into_tiles(spark):
     rng = np.random.default_rng(0)
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)

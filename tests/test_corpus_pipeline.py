@@ -1,0 +1,18 @@
+"""Stages of the corpus pipeline."""
+
+import random
+
+from veilspark.llm import suffix
+
+
+def words(rng, n):
+    return " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 6))) for _ in range(n))
+
+
+def test_repeats_are_cut_by_text_where_a_doc_id_has_two(spark):
+    rng = random.Random(14)
+    shared = words(rng, 60)
+    rows = [(1, shared + " " + words(rng, 90)), (7, words(rng, 100) + " " + shared), (7, words(rng, 70)), (None, words(rng, 60))]
+    got = suffix.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = {(i, t.replace(" " + shared, "")) if t.endswith(shared) else (i, t) for i, t in rows}
+    assert {(r["doc_id"], r["text"].strip()) for r in got} == want and len(got) == 4

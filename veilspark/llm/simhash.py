@@ -36,7 +36,7 @@ def fingerprint(text: str | None, n: int = SHINGLE) -> int:
 def _fingerprints(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for p in parts:
         fp = np.array([fingerprint(t) for t in p.column("text").to_pylist()], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([p.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([p.column("doc_id"), p.column("same"), pa.array(fp)], ["doc_id", "same", "fp"])
 
 
 def forest(fp: np.ndarray, ids: np.ndarray, other: slice | None = None, radius: int = RADIUS) -> list[tuple[int, int]]:
@@ -185,27 +185,36 @@ def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFram
     return units.mapInPandas(_compare(radius), "a long, b long").distinct()
 
 
+def _components(docs: DataFrame) -> DataFrame:
+    """doc_id, same (a hash of the text), fp, root (names the component) and component_id for every row of docs."""
+    rows = small_batches(docs).select("doc_id", "text", F.xxhash64("text").alias("same"))
+    prints = written(rows.mapInArrow(_fingerprints, "doc_id long, same long, fp long"), "simhash")
+    reps = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-distinct")
+    comps = connected_components(links(reps.select("fp", F.col("fp").alias("rep"))))
+    roots = written(reps.join(comps, reps["fp"] == comps["node"], "left").select("fp", "rep", F.coalesce("component", "fp").alias("root")), "simhash-roots")
+    least = written(roots.groupBy("root").agg(F.min("rep").alias("component_id")), "simhash-components")
+    return prints.join(roots.join(least, "root").drop("rep"), "fp")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for every row of docs (doc_id, text).
 
     component_id is the smallest doc_id that is reached over links between fingerprints with at most 3 differing
     bits. Null and empty texts have fingerprint 0, which links like any other; texts of fewer than 3 words are
-    one shingle; equal texts share a fingerprint and so a component; repeated rows stay; a row without doc_id is
-    in its fingerprint's component, null if that has no doc_id at all. An empty table gives an empty result;
-    other columns are left alone.
+    one shingle; equal texts share a fingerprint and so a component; repeated rows stay; rows without doc_id link
+    like others, and component_id is null where a component has no doc_id at all. Rows of one doc_id whose texts
+    differ are rows of their own. An empty table gives an empty result; other columns are left alone.
     """
-    prints = written(small_batches(docs).select("doc_id", "text").mapInArrow(_fingerprints, "doc_id long, fp long"), "simhash")
-    reps = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-distinct")
-    comps = connected_components(links(reps.filter("rep is not null")))
-    least = reps.join(comps, reps["rep"] == comps["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    out = prints.join(least, "fp")
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return _components(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The document with the smallest doc_id of each component; of rows with that doc_id, one."""
-    kept = near_duplicates(docs).filter("doc_id = component_id or component_id is null").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id"])
+    """One row of each component: that with the smallest doc_id (rows without one come last), of those with that
+    doc_id the one with the smallest fingerprint, then by a hash of the text; of equal rows, one."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "same")).alias("first")
+    kept = _components(docs).groupBy("root").agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first.same").alias("_kept"))
+    rows = docs.withColumn("_same", F.xxhash64("text"))
+    return rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_same") == F.col("_kept")), "left_semi").dropDuplicates(["doc_id", "_same"]).drop("_same")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,20 +52,21 @@ def _windows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each kept suffix the passages of PASSAGE words whose anchor it is, as hashes: start is the word the first
     of them begins with, each next one begins a word later."""
     for p in parts:
-        docs, at, sizes, hs = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-        for doc, text, places in zip(p.column("doc_id").to_pylist(), p.column("text").to_pylist(), p.column("places").to_pylist()):
+        docs, texts, at, sizes, hs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for doc, same, text, places in zip(*(p.column(c).to_pylist() for c in ("doc_id", "same", "text", "places"))):
             h = word_spans(text.encode("utf-8", "surrogatepass"))[2]
             least = anchors_by_window(h)
             kept = np.flatnonzero(np.isin(least, places))
             if len(kept):
                 first = np.flatnonzero(np.diff(least[kept], prepend=-1))
                 docs.append(np.full(len(first), doc, np.int64))
+                texts.append(np.full(len(first), same, np.int64))
                 at.append(kept[first].astype(np.int32))
                 sizes.append(np.diff(first, append=len(kept)))
                 hs.append(window_hashes(h, PASSAGE)[kept])
         ends = np.cumsum(np.concatenate([np.zeros(1, np.int64), *sizes])).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(hs).view(np.int64)))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs)), pa.array(np.concatenate(at)), lists], ["doc", "start", "passages"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs)), pa.array(np.concatenate(texts)), pa.array(np.concatenate(at)), lists], ["doc", "same", "start", "passages"])
 
 
 def repeated(docs: DataFrame) -> DataFrame:
@@ -84,12 +85,17 @@ def repeated(docs: DataFrame) -> DataFrame:
     by the least and the largest doc_id of each: every passage has one minimiser, so none is left out, whatever the
     number of documents that share a suffix. Suffixes with equal passages are looked up once.
     """
+    return _repeated(docs).drop("same")
+
+
+def _repeated(docs: DataFrame) -> DataFrame:
+    """repeated(docs) with same, a hash of the text: rows of one doc_id may differ in it."""
     rows = small_batches(docs).select("doc_id", "text").filter("doc_id is not null and text is not null")
     kept = written(rows.mapInArrow(_anchors, "doc long, pos int, h long"), "suffixes")
     shared = kept.groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a < b").select("h")
     places = kept.join(shared, "h", "left_semi").groupBy("doc").agg(F.collect_set("pos").alias("places"))
-    text = rows.join(places, rows["doc_id"] == places["doc"]).select("doc_id", "text", "places")
-    sets = text.mapInArrow(_windows, "doc long, start int, passages array<long>")
+    text = rows.join(places, rows["doc_id"] == places["doc"]).select("doc_id", F.xxhash64("text").alias("same"), "text", "places")
+    sets = text.mapInArrow(_windows, "doc long, same long, start int, passages array<long>")
     sets = written(sets.withColumn("c", F.xxhash64("passages")), "passages")
     once = sets.groupBy("c").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.first("passages").alias("passages"))
     once = written(once, "passages-once")
@@ -100,21 +106,21 @@ def repeated(docs: DataFrame) -> DataFrame:
     found = wide.join(held, "w").select("c", "k", later.cast("int").alias("later"), F.when(later, F.col("least")).otherwise(F.col("most")).alias("other"))
     # Passages of one minimiser begin at most 30 words apart, so they overlap and are one span.
     found = found.groupBy("c", "later").agg(F.min("k").alias("k"), F.max("k").alias("k_last"), F.min("other").alias("other"))
-    members = sets.select("c", "doc", F.col("start").cast("long").alias("start"), F.size("passages").alias("n")).join(once.select("c", "first"), "c")
-    own = members.filter("doc = first").join(found, "c").select("doc", (F.col("start") + F.col("k")).alias("start"), (F.col("start") + F.col("k_last") + PASSAGE).alias("stop"), "other", "later")
-    rest = members.filter("doc > first").select("doc", "start", (F.col("start") + F.col("n") - 1 + PASSAGE).alias("stop"), F.col("first").alias("other"), F.lit(1).alias("later"))
+    members = sets.select("c", "doc", "same", F.col("start").cast("long").alias("start"), F.size("passages").alias("n")).join(once.select("c", "first"), "c")
+    own = members.filter("doc = first").join(found, "c").select("doc", "same", (F.col("start") + F.col("k")).alias("start"), (F.col("start") + F.col("k_last") + PASSAGE).alias("stop"), "other", "later")
+    rest = members.filter("doc > first").select("doc", "same", "start", (F.col("start") + F.col("n") - 1 + PASSAGE).alias("stop"), F.col("first").alias("other"), F.lit(1).alias("later"))
     return _joined(own.unionByName(rest))
 
 
 def _joined(spans: DataFrame) -> DataFrame:
-    """Overlapping spans of a document as one, later ones and others apart."""
-    one = spans.groupBy("doc", "later", "start").agg(F.max("stop").alias("stop"), F.min("other").alias("other"))
-    order = Window.partitionBy("doc", "later").orderBy("start")
+    """Overlapping spans of a text as one, later ones and others apart."""
+    one = spans.groupBy("doc", "same", "later", "start").agg(F.max("stop").alias("stop"), F.min("other").alias("other"))
+    order = Window.partitionBy("doc", "same", "later").orderBy("start")
     reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
     new = F.when(F.col("start") < F.coalesce(reach, F.lit(-1)), 0).otherwise(1)
     isle = F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = one.withColumn("new", new).withColumn("isle", isle).groupBy("doc", "later", "isle").agg(F.min("start").alias("start_word"), F.max("stop").alias("end_word"), F.min("other").alias("other_doc"))
-    return out.select(F.col("doc").alias("doc_id"), "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), (F.col("later") == 1).alias("later"), "other_doc")
+    out = one.withColumn("new", new).withColumn("isle", isle).groupBy("doc", "same", "later", "isle").agg(F.min("start").alias("start_word"), F.max("stop").alias("end_word"), F.min("other").alias("other_doc"))
+    return out.select(F.col("doc").alias("doc_id"), "same", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), (F.col("later") == 1).alias("later"), "other_doc")
 
 
 def _cut(columns: list[str]):
@@ -141,8 +147,8 @@ def _cut(columns: list[str]):
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with each repeated passage cut from all documents but that with the smallest doc_id; a document that
     consists of such passages alone goes."""
-    cuts = repeated(docs).filter("later").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct(F.col("start_word").alias("a"), F.col("end_word").alias("b"))).alias("_cuts"))
-    both = small_batches(docs).join(cuts, docs["doc_id"] == F.col("_id"), "left").drop("_id")
+    cuts = _repeated(docs).filter("later").groupBy(F.col("doc_id").alias("_id"), F.col("same").alias("_same")).agg(F.collect_list(F.struct(F.col("start_word").alias("a"), F.col("end_word").alias("b"))).alias("_cuts"))
+    both = small_batches(docs).join(cuts, (docs["doc_id"] == F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_same")), "left").drop("_id", "_same")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     touched = both.filter("_cuts is not null").mapInArrow(_cut(docs.columns), schema).filter("trim(text) <> ''")
     return both.filter("_cuts is null").drop("_cuts").unionByName(touched)
