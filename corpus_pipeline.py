@@ -10,9 +10,9 @@ from veilspark.llm.store import written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; those without letters go, and ambiguous ones of low score."""
+    """Documents whose language is known, ambiguous ones too; those without letters go."""
     seen = language.identify(docs, language.fit(docs))
-    return seen.filter((F.col("lang_pred") != language.UNKNOWN) & ~F.col("ambiguous")).select(*docs.columns)
+    return seen.filter(F.col("lang_pred") != language.UNKNOWN).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ STAGES = [
     ("mix_sources", mix),
     ("byte_bpe", encode),
 ]
-# No SQL: language identification, SimHash links and BPE are not expressible; tests hold the stages against brute force.
+# No SQL: language identification, SimHash links and BPE are not expressible; tests hold their operators against brute force.
 ORACLE_SQL = None
 
 
