@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -13,17 +14,20 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .sampling import fold, sample_by_class, small_batches
+from .sampling import fold, sample_by_class
 
 SAMPLE_TOXIC, SAMPLE_ORDINARY = 1500, 3000  # labelled documents to learn from, at most about so many
-SAMPLE_WORDS = 400  # distinct words of a sampled document that are kept for learning, spread over the whole text
 WINDOW = 8  # words compressed together
 LEVEL = 9
-BYTES, COMMON = 600, 2048  # of a dictionary: what marks its class, and what both have
-LIFT, LEAST, LEAST_DOCS = 20.0, 0.01, 10
-ORDINARY_RATIO = 2.0  # in the calibration, ordinary documents weigh at most so much more than toxic ones
+OWN, BASE = 1024, 2048  # bytes that the trainer may give to what marks a class, and to ordinary text
+SEGMENT, DMER = 64, 6  # of the trainer's cover search
+LIFT, LEAST = 20.0, 0.03
+FOLDS = 3  # the calibration sees each document through dictionaries of the other folds
+ORDINARY_RATIO = 4.0  # in the calibration, ordinary documents weigh at most so much more than toxic ones
 THRESHOLD = 0.7
+FEATURES = 6
 _WORD = re.compile(r"\w+")
+_OFFSETS = b"".join(n.to_bytes(4, "little") for n in (1, 4, 8))  # what ends the tables of a zstandard dictionary
 
 
 def windows(text: str | None) -> list[bytes]:
@@ -32,30 +36,49 @@ def windows(text: str | None) -> list[bytes]:
     return [f" {' '.join(words[i : i + WINDOW])} ".encode("utf-8", "surrogatepass") for i in range(0, len(words), WINDOW)]
 
 
-def _starts(words: Iterable[str]) -> set[bytes]:
-    """Beginnings of 4 to 11 bytes of words, and whole words, with the blanks around them."""
-    out = set()
-    for w in set(words):
-        b = b" " + w.encode("utf-8", "surrogatepass")
-        out.update(b[:n] for n in range(5, min(len(b), 12) + 1))
-        out.add(b + b" ")
-    return out
+def _starts(word: bytes) -> list[bytes]:
+    """Beginnings of 4 to 11 bytes of a word, and the whole word, with the blanks around them."""
+    return [word[:n] for n in range(5, min(len(word), 13))] + [word]
+
+
+def _words(windows_: Iterable[bytes]) -> set[bytes]:
+    return {b" " + w + b" " for x in windows_ for w in x.split()}
+
 
+def _least(n: int) -> float:
+    """Documents of a class that must hold what marks it: one in a hundred, 10, or with few documents down to 4."""
+    return max(LEAST * n, min(10.0, max(4.0, 0.6 * n**0.5)))
 
-def _train(own: Counter, other: Counter, n_own: int, n_other: int) -> bytes:
-    """A dictionary's content: the beginnings that cover most bytes of the class's documents among those that are
-    far more common in them than in the other class."""
-    least = max(LEAST_DOCS, LEAST * n_own)
-    found = sorted(((v * len(g), g) for g, v in own.items() if v >= least and v / n_own >= LIFT * (other[g] + 0.5) / n_other), reverse=True)
+
+def content(own: Counter, other: Counter, n_own: int, n_other: int) -> bytes:
+    """What marks a class: beginnings that are far more common in its documents than in the other's, those that
+    cover most bytes of its documents last, where zstandard finds them nearest."""
+    found = sorted(((v * len(g), g) for g, v in own.items() if v >= _least(n_own) and v / max(1, n_own) >= LIFT * (other[g] + 0.5) / max(1, n_other)), reverse=True)
     out: list[bytes] = []
     size = 0
     for _, g in found:
-        if size + len(g) <= BYTES and not any(g in x for x in out):
+        if size + len(g) <= OWN and not any(g in x for x in out):
             out.append(g)
             size += len(g)
     return b"".join(reversed(out))
 
 
+def trained(samples: list[bytes], size: int) -> bytes:
+    """The content of a zstandard dictionary that the trainer makes of samples; of too few, the samples themselves."""
+    samples = [s.ljust(8) for s in samples if s]
+    if not samples:
+        return b""
+    total = sum(map(len, samples))
+    samples = samples * -(-max(1000, 20 * size // max(1, total)) // len(samples))
+    while size >= 256:
+        try:
+            made = zstandard.train_dictionary(size, samples, k=SEGMENT, d=DMER).as_bytes()
+            return made[made.index(_OFFSETS) + len(_OFFSETS) :]
+        except (zstandard.ZstdError, ValueError):
+            size //= 2
+    return b"".join(dict.fromkeys(samples))[-OWN:]
+
+
 @dataclass(frozen=True)
 class Model:
     toxic: bytes
@@ -85,9 +108,9 @@ def distances(text: str | None, ordinary: zstandard.ZstdCompressor, toxic: zstan
     return np.array([min(saved.max(), 12), min(np.sort(saved)[-2:].sum(), 20), np.log1p(over.sum()), np.sqrt(over.mean()), saved.mean(), (saved >= 3).mean()])
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4) -> np.ndarray:
-    """Weights (the constant first) of a ridge logistic regression by Newton steps."""
-    a, w, r = np.column_stack([np.ones(len(x)), x]), np.zeros(x.shape[1] + 1), ridge * len(x)
+def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights (the constant first) of a ridge logistic regression by Newton steps; few rows are held back more."""
+    a, w, r = np.column_stack([np.ones(len(x)), x]), np.zeros(x.shape[1] + 1), max(1e-4 * len(x), 0.5)
     each = np.where(y == 1, max(1.0, (1 - y).sum() / (ORDINARY_RATIO * y.sum())), 1.0)
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -40, 40)))
@@ -96,67 +119,84 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4) -> np.ndarray:
     return w
 
 
-def _learned_words(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every document's distinct words (at most SAMPLE_WORDS, spread evenly) for the dictionaries."""
-    for p in parts:
-        rows = []
-        for t in p.column("text").to_pylist():
-            words = list(dict.fromkeys(_WORD.findall((t or "").lower())))
-            rows.append(" ".join(words[:: -(-len(words) // SAMPLE_WORDS) or 1]))
-        yield pa.RecordBatch.from_arrays([p.column("doc_id"), p.column("toxic"), pa.array(rows, pa.string())], ["doc_id", "toxic", "words"])
+def part_of(ident: int) -> int:
+    return zlib.crc32(str(ident).encode()) // 3 % FOLDS
+
+
+def dictionaries(rows: list[tuple[int, int, str]]) -> list[tuple[bytes, bytes]]:
+    """(toxic, ordinary) dictionaries learned from rows (doc_id, label, text): for each fold from the rows outside
+    it, and last from all.
+
+    Both hold what the trainer makes of the windows of ordinary documents. Before it stands what marks the class:
+    the trainer itself would pick ordinary text there, of which toxic documents consist for the most part.
+    """
+    bags: list[tuple[int, int, list[bytes], set[bytes]]] = []
+    for i, label, text in rows:
+        cut = windows(text)
+        bags.append((part_of(i), label, cut, {g for w in _words(cut) for g in _starts(w)}))
+    counts = {(f, c): Counter() for f in range(FOLDS) for c in (0, 1)}
+    for f, c, _, bag in bags:
+        counts[f, c].update(bag)
+    base, out = trained([w for _, label, cut, _ in bags if label == 0 for w in cut], BASE), []
+    for without in (*range(FOLDS), None):
+        used = [b for b in bags if b[0] != without]
+        n = {c: sum(b[1] == c for b in used) for c in (0, 1)}
+        total = {c: sum((counts[f, c] for f in range(FOLDS) if f != without), Counter()) for c in (0, 1)}
+        own = {c: content(total[c], total[1 - c], n[c], n[1 - c]) for c in (0, 1)}
+        size = max(map(len, own.values()))
+        both = [own[c].rjust(size, b"\0") + base or b"\0" * 8 for c in (1, 0)]
+        out.append((both[0], both[1]))
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Dictionaries and thresholds from labelled documents outside the held-out fold; of a document's repeated
-    labels the largest counts. One half of the sample gives the dictionaries, the other one the calibration."""
+    labels the largest counts.
+
+    The whole texts of a sample of documents, bounded by SAMPLE_TOXIC and SAMPLE_ORDINARY, come to the driver for
+    the trainer. Each of them is then measured by dictionaries that did not see it, and the threshold is set on
+    that.
+    """
     known = labels.filter((fold(F.col("doc_id")) != 1) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = sample_by_class(known.filter("toxic = 1"), "doc_id", "toxic", SAMPLE_TOXIC).unionByName(sample_by_class(known.filter("toxic = 0"), "doc_id", "toxic", SAMPLE_ORDINARY))
-    part = small_batches(docs).select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "text")
-    rows = sorted((r["doc_id"], r["toxic"], r["words"]) for r in part.mapInArrow(_learned_words, "doc_id long, toxic int, words string").collect())
-    half = [(y, w.split()) for i, (_, y, w) in enumerate(rows) if i % 3]
-    bags = {c: [_starts(w) for y, w in half if y == c] for c in (0, 1)}
-    counts = {c: Counter(g for b in bags[c] for g in b) for c in (0, 1)}
-    n = {c: max(1, len(bags[c])) for c in (0, 1)}
-    common = Counter(w for y, ws in half if y == 0 for w in ws)
-    shared = b"".join(b" " + w.encode("utf-8", "surrogatepass") for w, _ in sorted(common.items(), key=lambda x: (-x[1], x[0]))[:400])[-COMMON:]
-    own = {c: _train(counts[c], counts[1 - c], n[c], n[1 - c]) for c in (0, 1)}
-    size = max(map(len, own.values()))
-    dicts = {c: own[c].rjust(size, b"\0") + shared or b"\0" * 8 for c in (0, 1)}
-    base = Model(dicts[1], dicts[0], (0.0,) * 7, (0.0,) * 6, (1.0,) * 6)
-    test = {r[0] for r in rows[::3]}
-    shared_model = docs.sparkSession.sparkContext.broadcast(base)
+    part = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", F.coalesce("text", F.lit("")).alias("text"))
+    rows = sorted((r["doc_id"], r["toxic"], r["text"]) for r in part.collect())
+    dicts = dictionaries(rows)
+    plain = [Model(t, o, (0.0,) * (FEATURES + 1), (0.0,) * FEATURES, (1.0,) * FEATURES) for t, o in dicts]
+    shared = docs.sparkSession.sparkContext.broadcast(plain[:FOLDS])
 
     def measure(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        o, t = shared_model.value.compressors()
+        pairs = [m.compressors() for m in shared.value]
         for p in parts:
-            x = [distances(s, o, t).tolist() for s in p.column("text").to_pylist()]
+            x = [distances(s, *pairs[part_of(i)]).tolist() for i, s in zip(p.column("doc_id").to_pylist(), p.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([p.column("doc_id"), p.column("toxic"), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "toxic", "x"])
 
-    got = [r for r in part.mapInArrow(measure, "doc_id long, toxic int, x array<double>").collect() if r["doc_id"] in test]
-    got.sort(key=lambda r: r["doc_id"])
-    y = np.array([r["toxic"] for r in got], float)
+    got = sorted(((r["doc_id"], r["toxic"], r["x"]) for r in part.mapInArrow(measure, "doc_id long, toxic int, x array<double>").collect()))
+    y = np.array([r[1] for r in got], float)
+    toxic, ordinary = dicts[-1]
     if not len(got) or y.min() == y.max():
-        return Model(dicts[1], dicts[0], (float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))),) + (0.0,) * 6, (0.0,) * 6, (1.0,) * 6)
-    x = np.array([r["x"] for r in got])
+        return Model(toxic, ordinary, (float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))),) + (0.0,) * FEATURES, (0.0,) * FEATURES, (1.0,) * FEATURES)
+    x = np.array([r[2] for r in got])
     mean, spread = x.mean(0), np.maximum(x.std(0), 1e-6)
-    return Model(dicts[1], dicts[0], tuple(_logistic((x - mean) / spread, y)), tuple(mean), tuple(spread))
+    return Model(toxic, ordinary, tuple(_logistic((x - mean) / spread, y)), tuple(mean), tuple(spread))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score (0 to 1, higher: more likely toxic) for every row, from the whole text alone.
 
-    Null and empty texts have one window that saves nothing and get that score. Repeated rows stay; an empty
-    table gives an empty result; without labelled rows the score is 0.5 for all; other columns are left alone.
+    Null and empty texts have one window that saves nothing and get that score. Texts may be of any length: they
+    are compressed a window at a time. Repeated rows stay; an empty table gives an empty result; without labelled
+    rows the score is 0.5 for all; other columns, score and label among them, are left alone.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         o, t = shared.value.compressors()
         for p in parts:
-            x = np.array([distances(s, o, t) for s in p.column("text").to_pylist()]).reshape(-1, 6)
+            x = np.array([distances(s, o, t) for s in p.column("text").to_pylist()]).reshape(-1, FEATURES)
             yield pa.RecordBatch.from_arrays([p.column("doc_id"), pa.array(shared.value.probability(x), pa.float64())], ["doc_id", "score"])
 
-    return small_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
