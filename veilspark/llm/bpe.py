@@ -12,9 +12,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .sampling import small_batches
+from .sampling import slices
 
-LEAF = 24  # bytes that are merged directly
+LEAF = 4  # bytes that are merged directly; longer ones are halved
+DIRECT = 48  # bytes of a window whose least pair is looked for anew at each step; longer ones keep a heap
 NONE = 1 << 62
 REMEMBERED = 1 << 18  # pieces, and as many pairs, that a worker keeps; more start the memory afresh
 SHORT = 48  # characters of a piece that is kept
@@ -34,7 +35,7 @@ class Encoder:
         ranks, n = self.ranks, len(data)
         if n < 2:
             return (ranks[data],) if n else ()
-        if n <= 2 * LEAF:
+        if n <= DIRECT:
             get, cut = ranks.get, list(range(n + 1))
             pair = [get(data[i : i + 2], NONE) for i in range(n - 1)]
             while pair and (least := min(pair)) != NONE:
@@ -159,7 +160,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _of(shared, pattern)
-        for p in parts:
+        for p in slices(parts):
             n, ids, decoded, lists = [], [], [], []
             for text in p.column("text").to_pylist():
                 got = enc.document(text)
@@ -170,7 +171,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 lists.append(line)
             yield pa.RecordBatch.from_arrays([p.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string()), pa.array(lists, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"])
 
-    return small_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids string")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids string")
 
 
 def standard(docs: DataFrame) -> DataFrame:
