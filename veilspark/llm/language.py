@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .sampling import fold, sample_by_class, small_batches
+from .sampling import MOST_CLASSES, fold, sample_by_class, slices
+from .store import fresh
 
 DIMS = 1 << 12
 SAMPLE_ROWS = 2400  # labelled documents that the classifiers learn from, at most about so many in all
@@ -19,12 +20,11 @@ SAMPLE_EACH = 400  # and of one language
 PIECE = 1 << 20
 UNKNOWN = "und"
 AMBIGUOUS = 0.15
-_LETTER = re.compile(r"[^\W\d_]")
 _FOLD = bytes(32 if i < 128 and not chr(i).isalpha() else i for i in range(256))
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    return any(map(str.isalpha, text or ""))
 
 
 def features(text: str) -> np.ndarray:
@@ -81,7 +81,7 @@ class Model:
 
 
 def _features(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for p in parts:
+    for p in slices(parts):
         rows = [features(t).tobytes() if has_letter(t) else None for t in p.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([p.column("doc_id"), p.column("lang"), pa.array(rows, pa.binary())], ["doc_id", "lang", "x"])
 
@@ -89,8 +89,8 @@ def _features(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, ridge: float = 1e-3, rows: int = SAMPLE_ROWS, each: int = SAMPLE_EACH) -> Model:
     """A linear classifier for each bit of the codewords (ridge regression on the bit, by its dual form), from a
     sample of docs (doc_id, text, lang) whose size is bounded by rows and each."""
-    known = small_batches(docs).select("doc_id", "text", "lang").filter(fold(F.col("doc_id")) != 1).filter("text is not null")
-    n = known.filter("lang is not null").select("lang").distinct().limit(1001).count()
+    known = docs.select("doc_id", "text", "lang").filter(fold(F.col("doc_id")) != 1).filter("text is not null")
+    n = known.filter("lang is not null").select("lang").distinct().limit(MOST_CLASSES + 1).count()
     part = sample_by_class(known, "doc_id", "lang", max(2, min(each, rows // max(1, n))))
     got = part.mapInArrow(_features, "doc_id long, lang string, x binary").filter("x is not null").collect()
     got.sort(key=lambda r: (r["lang"], -1 if r["doc_id"] is None else r["doc_id"]))
@@ -111,26 +111,35 @@ def fit(docs: DataFrame, ridge: float = 1e-3, rows: int = SAMPLE_ROWS, each: int
     return Model(langs, codes, weights.astype(np.float32), (bias - mean @ weights).astype(np.float32), 2.0)
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred, score (0 to 1) and ambiguous after its own columns; only text is read.
+def identify(docs: DataFrame, model: Model, names: tuple[str, str, str] = ("lang_pred", "score", "ambiguous")) -> DataFrame:
+    """docs with lang_pred, score (0 to 1) and ambiguous (named by names) after its own columns; only text is read.
 
-    A null text, and one without letters, is und with score 0 and ambiguous false. With no language learned all
-    is und. Repeated rows and other columns stay as they are; an empty table gives an empty result.
+    A null text, and one without letters, is und with score 0 and ambiguous false. Texts of any length are read
+    whole, a piece at a time. With no language learned all is und. Of equal losses the first language by name wins.
+    Repeated rows and other columns stay as they are, but for columns that have one of the three names, which give
+    way; an empty table gives an empty result.
     """
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in {n.lower() for n in names}])
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
+    own = docs.columns
     schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for p in parts:
+        for p in slices(parts):
             out = [m.decode(m.margins(features(t))) if m.langs and has_letter(t) else (UNKNOWN, 0.0, False) for t in p.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*p.columns, pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64()), pa.array([x[2] for x in out], pa.bool_())],
-                [*names, "lang_pred", "score", "ambiguous"],
+                [*own, *names],
             )
 
-    return small_batches(docs).mapInArrow(run, ", ".join([*schema, "lang_pred string", "score double", "ambiguous boolean"]))
+    return docs.mapInArrow(run, ", ".join([*schema, f"`{names[0]}` string, `{names[1]}` double, `{names[2]}` boolean"]))
+
+
+def known(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs whose language is known, ambiguous ones too, with all their columns whatever their names."""
+    names = tuple(fresh(docs.columns, n) for n in ("lang_pred", "score", "ambiguous"))
+    return identify(docs, model, names).filter(F.col(names[0]) != UNKNOWN).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,14 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .sampling import small_batches
-from .store import written
+from .sampling import slices
+from .skew import joined
+from .store import fresh, written
 from .words import window_hashes, word_spans
 
 PASSAGE = 50  # words that a repeated passage has at least
 ANCHOR = 20  # words of a suffix that its hash covers
 SPAN = PASSAGE - ANCHOR + 1  # anchors of which one is kept: any passage holds a whole such window
-HOT = 20_000  # of no effect: all suffixes of an anchor are compared in the same way, however many there are
 
 
 def anchors_by_window(hashes: np.ndarray) -> np.ndarray:
@@ -36,7 +36,7 @@ def anchors_of(hashes: np.ndarray) -> np.ndarray:
 
 
 def _anchors(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for p in parts:
+    for p in slices(parts):
         docs, at, hs = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)]
         for doc, text in zip(p.column("doc_id").to_pylist(), p.column("text").to_pylist()):
             h = word_spans(text.encode("utf-8", "surrogatepass"))[2]
@@ -51,7 +51,7 @@ def _anchors(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _windows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each kept suffix the passages of PASSAGE words whose anchor it is, as hashes: start is the word the first
     of them begins with, each next one begins a word later."""
-    for p in parts:
+    for p in slices(parts):
         docs, texts, at, sizes, hs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
         for doc, same, text, places in zip(*(p.column(c).to_pylist() for c in ("doc_id", "same", "text", "places"))):
             h = word_spans(text.encode("utf-8", "surrogatepass"))[2]
@@ -83,32 +83,35 @@ def repeated(docs: DataFrame) -> DataFrame:
     Suffixes are kept at minimisers of 20-word hashes, so any 50 common words have a suffix in common. For those
     whose hash another document has, all passages of 50 words that have the suffix as their minimiser are looked up
     by the least and the largest doc_id of each: every passage has one minimiser, so none is left out, whatever the
-    number of documents that share a suffix. Suffixes with equal passages are looked up once.
+    number of documents that share a suffix. Suffixes with equal passages are looked up once. Rows of a suffix, a
+    passage or a context that very many have stay where they are (skew.joined). Texts may be of any length: a
+    text's words and hashes are held at once, of no more than one text.
     """
     return _repeated(docs).drop("same")
 
 
 def _repeated(docs: DataFrame) -> DataFrame:
     """repeated(docs) with same, a hash of the text: rows of one doc_id may differ in it."""
-    rows = small_batches(docs).select("doc_id", "text").filter("doc_id is not null and text is not null")
+    rows = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
     kept = written(rows.mapInArrow(_anchors, "doc long, pos int, h long"), "suffixes")
-    shared = kept.groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a < b").select("h")
-    places = kept.join(shared, "h", "left_semi").groupBy("doc").agg(F.collect_set("pos").alias("places"))
+    shared = kept.groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.count("*").alias("n")).filter("a < b").select("h", "n")
+    places = joined(kept, written(shared, "anchors-shared"), "h").groupBy("doc").agg(F.collect_set("pos").alias("places"))
     text = rows.join(places, rows["doc_id"] == places["doc"]).select("doc_id", F.xxhash64("text").alias("same"), "text", "places")
     sets = text.mapInArrow(_windows, "doc long, same long, start int, passages array<long>")
     sets = written(sets.withColumn("c", F.xxhash64("passages")), "passages")
-    once = sets.groupBy("c").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.first("passages").alias("passages"))
+    once = sets.groupBy("c").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.first("passages").alias("passages"), F.count("*").alias("n"))
     once = written(once, "passages-once")
     wide = once.select("c", "first", "last", F.posexplode("passages").alias("k", "w"))
-    # Written, so that Spark can split the join where very many suffixes share a passage.
-    held = written(wide.groupBy("w").agg(F.min("first").alias("least"), F.max("last").alias("most")).filter("least < most"), "passages-held")
+    held = wide.groupBy("w").agg(F.min("first").alias("least"), F.max("last").alias("most"), F.count("*").alias("n")).filter("least < most")
+    held = written(held, "passages-held")
     later = F.col("least") < F.col("first")
-    found = wide.join(held, "w").select("c", "k", later.cast("int").alias("later"), F.when(later, F.col("least")).otherwise(F.col("most")).alias("other"))
+    found = joined(wide, held, "w").select("c", "k", later.cast("int").alias("later"), F.when(later, F.col("least")).otherwise(F.col("most")).alias("other"))
     # Passages of one minimiser begin at most 30 words apart, so they overlap and are one span.
     found = found.groupBy("c", "later").agg(F.min("k").alias("k"), F.max("k").alias("k_last"), F.min("other").alias("other"))
-    members = sets.select("c", "doc", "same", F.col("start").cast("long").alias("start"), F.size("passages").alias("n")).join(once.select("c", "first"), "c")
+    members = sets.select("c", "doc", "same", F.col("start").cast("long").alias("start"), F.size("passages").alias("size"))
+    members = joined(members, once.select("c", "first", "n"), "c")
     own = members.filter("doc = first").join(found, "c").select("doc", "same", (F.col("start") + F.col("k")).alias("start"), (F.col("start") + F.col("k_last") + PASSAGE).alias("stop"), "other", "later")
-    rest = members.filter("doc > first").select("doc", "same", "start", (F.col("start") + F.col("n") - 1 + PASSAGE).alias("stop"), F.col("first").alias("other"), F.lit(1).alias("later"))
+    rest = members.filter("doc > first").select("doc", "same", "start", (F.col("start") + F.col("size") - 1 + PASSAGE).alias("stop"), F.col("first").alias("other"), F.lit(1).alias("later"))
     return _joined(own.unionByName(rest))
 
 
@@ -123,35 +126,39 @@ def _joined(spans: DataFrame) -> DataFrame:
     return out.select(F.col("doc").alias("doc_id"), "same", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), (F.col("later") == 1).alias("later"), "other_doc")
 
 
-def _cut(columns: list[str]):
+def _cut(columns: list[str], text: str, cuts: str):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p in parts:
+        for p in slices(parts):
             out = []
-            for text, cuts in zip(p.column("text").to_pylist(), p.column("_cuts").to_pylist()):
-                if text is None or not cuts:
-                    out.append(text)
-                    continue
-                data = text.encode("utf-8", "surrogatepass")
+            for whole, found in zip(p.column(text).to_pylist(), p.column(cuts).to_pylist()):
+                data = whole.encode("utf-8", "surrogatepass")
                 starts, ends, _ = word_spans(data)
                 kept, at = [], 0
-                for a, b in sorted((c["a"], c["b"]) for c in cuts):
+                for a, b in sorted((c["a"], c["b"]) for c in found):
                     kept.append(data[at : starts[a]])
                     at = int(starts[b]) if b < len(starts) else len(data)
                 kept.append(data[at:])
                 out.append(b"".join(kept).decode("utf-8", "surrogatepass"))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == "text" else p.column(c) for c in columns], columns)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == text else p.column(c) for c in columns], columns)
 
     return run
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with each repeated passage cut from all documents but that with the smallest doc_id; a document that
-    consists of such passages alone goes."""
-    cuts = _repeated(docs).filter("later").groupBy(F.col("doc_id").alias("_id"), F.col("same").alias("_same")).agg(F.collect_list(F.struct(F.col("start_word").alias("a"), F.col("end_word").alias("b"))).alias("_cuts"))
-    both = small_batches(docs).join(cuts, (docs["doc_id"] == F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_same")), "left").drop("_id", "_same")
+    consists of such passages alone goes.
+
+    Rows without doc_id or text stay as they are, and so do all other columns, whatever their names; repeated rows
+    are cut alike; an empty table gives an empty result. Where rows of one doc_id differ in their text each is cut
+    by its own spans.
+    """
+    ident, same, cuts = (fresh(docs.columns, c) for c in ("_id", "_same", "_cuts"))
+    spans = F.collect_list(F.struct(F.col("start_word").alias("a"), F.col("end_word").alias("b")))
+    found = _repeated(docs).filter("later").groupBy(F.col("doc_id").alias(ident), F.col("same").alias(same)).agg(spans.alias(cuts))
+    both = docs.join(found, (docs["doc_id"] == found[ident]) & (F.xxhash64(docs["text"]) == found[same]), "left").drop(ident, same)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    touched = both.filter("_cuts is not null").mapInArrow(_cut(docs.columns), schema).filter("trim(text) <> ''")
-    return both.filter("_cuts is null").drop("_cuts").unionByName(touched)
+    touched = both.filter(F.col(cuts).isNotNull()).mapInArrow(_cut(docs.columns, "text", cuts), schema).filter("trim(text) <> ''")
+    return both.filter(F.col(cuts).isNull()).drop(cuts).unionByName(touched)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

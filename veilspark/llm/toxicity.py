@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .sampling import fold, sample_by_class
+from .sampling import fold, sample_by_class, slices
 
 SAMPLE_TOXIC, SAMPLE_ORDINARY = 1500, 3000  # labelled documents to learn from, at most about so many
 WINDOW = 8  # words compressed together
@@ -46,7 +46,7 @@ def _words(windows_: Iterable[bytes]) -> set[bytes]:
 
 
 def _least(n: int) -> float:
-    """Documents of a class that must hold what marks it: one in a hundred, 10, or with few documents down to 4."""
+    """Documents of a class that must hold what marks it: three in a hundred, at least 10, or with few documents down to 4."""
     return max(LEAST * n, min(10.0, max(4.0, 0.6 * n**0.5)))
 
 
@@ -167,7 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     def measure(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = [m.compressors() for m in shared.value]
-        for p in parts:
+        for p in slices(parts):
             x = [distances(s, *pairs[part_of(i)]).tolist() for i, s in zip(p.column("doc_id").to_pylist(), p.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([p.column("doc_id"), p.column("toxic"), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "toxic", "x"])
 
@@ -192,7 +192,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         o, t = shared.value.compressors()
-        for p in parts:
+        for p in slices(parts):
             x = np.array([distances(s, o, t) for s in p.column("text").to_pylist()]).reshape(-1, FEATURES)
             yield pa.RecordBatch.from_arrays([p.column("doc_id"), pa.array(shared.value.probability(x), pa.float64())], ["doc_id", "score"])
 
