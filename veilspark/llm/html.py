@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -12,23 +14,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import boosting, html_samples
-from .sampling import small_batches
+from .sampling import slices
 
 # Fixed lists of HTML element names.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset("script style noscript template iframe svg math object canvas audio video select textarea head title".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul li dd dt tr td th".split())
-SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-BARRIER = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
+# What a start tag ends: the nearest open element of the first kind that has none of the second kind around it within.
+ENDS = [
+    (frozenset({"p"}), frozenset({"article", "div", "section", "td", "li", "button"}), CLOSES_P),
+    (frozenset({"li"}), frozenset({"ul", "ol", "menu"}), frozenset({"li"})),
+    (frozenset({"dt", "dd"}), frozenset({"dl"}), frozenset({"dt", "dd"})),
+    (frozenset({"td", "th"}), frozenset({"table", "tr"}), frozenset({"td", "th", "tr"})),
+    (frozenset({"tr"}), frozenset({"table"}), frozenset({"tr"})),
+    (frozenset({"option"}), frozenset(), frozenset({"option"})),
+]
 KINDS = [{"article", "main"}, {"nav", "menu"}, {"header", "hgroup"}, {"footer"}, {"aside"}, {"form", "fieldset", "button", "dialog"}, {"p", "blockquote", "pre"}, {"h1", "h2", "h3", "h4", "h5", "h6"}, {"li", "dt", "dd"}, {"ul", "ol", "dl"}, {"div", "section"}, {"table", "tr", "td", "th", "tbody"}, {"figure", "figcaption"}]
-CHROME = frozenset("ad ads advert advertisement sponsor sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs header masthead topbar footer foot bottom sidebar side aside widget related recommended more cookie cookies consent gdpr notice alert popup modal overlay subscribe newsletter signup login search form share social follow comment comments reply respond discussion disqus pagination pager tags meta byline copyright legal toolbar skip".split())
-CONTENT = frozenset("article articlebody content body main post entry story text hentry page prose copy paragraph".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
+# As HTML says: quotes count only after an equals sign; a tag that never ends takes the rest of the page.
+_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*>?|</[^a-zA-Z][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)(>?)", re.S)
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|itemprop|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|$)", re.I | re.S)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
-_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "noscript", "template", "iframe", "svg", "math", "object", "canvas", "audio", "video", "select", "textarea", "title")}
+_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in ("script", "style", "noscript", "template", "iframe", "svg", "math", "object", "canvas", "audio", "video", "select", "textarea", "title")}
+LEAST_SEEN = 8  # nodes that must have an attribute token, for it to count
+TOKEN_PAGES, TOKEN_SEED = 400, 11  # made-up pages that the tokens' weights are learned from, apart from those of the trees
 KEEP_COST, MIX_COST = 3.0, 0.5  # of a dropped part within a kept one; of a mixed node
 
 
@@ -42,6 +52,12 @@ class Page:
 
     def _parse(self, source: str) -> None:
         stack, link, open_run, at, end = [0], False, False, 0, len(source)
+        scopes, opened, endless = [(-1,) * len(ENDS)], Counter(), set()
+
+        def drop(to: int) -> None:
+            for node in stack[to:]:
+                opened[self.tag[node]] -= 1
+            del stack[to:], scopes[to:]
 
         def say(text: str) -> None:
             nonlocal open_run
@@ -60,43 +76,41 @@ class Page:
             at, close, tag = m.end(), m[1], (m[2] or "").lower()
             if not tag:
                 continue
+            if not m[4]:
+                break
             if tag in INLINE:
                 link = not close if tag == "a" else link
                 continue
             if tag == "br":
                 say("\n")
                 continue
-            if not close and tag in _END and not m[3].endswith("/"):
+            if not close and tag in _END and tag not in endless and not m[3].endswith("/"):
                 stop = _END[tag].search(source, at)
+                if stop is None:
+                    endless.add(tag)
                 at = stop.end() if stop else (end if tag in ("script", "style") else at)
                 continue
             open_run = False
             if tag in VOID or tag in ("html", "body"):
                 continue
             if close:
-                for i in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[i]] == tag:
-                        del stack[i:]
-                        link = False
-                        break
+                if opened[tag]:
+                    i = len(stack) - 1
+                    while self.tag[stack[i]] != tag:
+                        i -= 1
+                    drop(i)
+                    link = False
                 continue
-            self._imply(tag, stack)
+            for k, (_, _, starts) in enumerate(ENDS):
+                if tag in starts and scopes[-1][k] > 0:
+                    drop(scopes[-1][k])
             self.parent.append(stack[-1])
             self.tag.append(tag)
             self.attrs.append(_attributes(m[3]))
             if not m[3].endswith("/"):
+                scopes.append(tuple(len(stack) if tag in kinds else -1 if tag in bars else old for old, (kinds, bars, _) in zip(scopes[-1], ENDS)))
                 stack.append(len(self.tag) - 1)
-
-    def _imply(self, tag: str, stack: list[int]) -> None:
-        """Ends what the start of tag ends: an open paragraph, and the item, row or cell before."""
-        for ends, bars in ((SAME.get(tag), BARRIER.get(tag, ())), ({"p"} if tag in CLOSES_P else None, ("article", "div", "section", "td", "li", "button"))):
-            if ends:
-                for i in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[i]] in ends:
-                        del stack[i:]
-                        break
-                    if self.tag[stack[i]] in bars:
-                        break
+                opened[tag] += 1
 
     def texts(self) -> list[tuple[int, str, int]]:
         """(node, text, characters in links) of each run: references decoded, white space made one space."""
@@ -118,12 +132,11 @@ def _attributes(raw: str) -> tuple[str, str, str, bool]:
 
 
 @lru_cache(1 << 14)
-def _marks(attrs: tuple[str, str, str, bool]) -> tuple[int, int]:
-    words = [w.lower() for part in attrs[:3] for w in _PART.findall(part)]
-    return sum(w in CHROME for w in words), sum(w in CONTENT for w in words)
+def _tokens(attrs: tuple[str, str, str, bool]) -> tuple[str, ...]:
+    return tuple({w.lower() for part in attrs[:3] for w in _PART.findall(part)})
 
 
-def node_features(page: Page) -> tuple[np.ndarray, np.ndarray, list[tuple[int, str, int]]]:
+def node_features(page: Page, weights: dict[str, float]) -> tuple[np.ndarray, np.ndarray, list[tuple[int, str, int]]]:
     """A row of features for each node, the characters that lie in it directly, and the runs."""
     runs, n = page.texts(), len(page.tag)
     own, links, stops, begin = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
@@ -142,7 +155,10 @@ def node_features(page: Page) -> tuple[np.ndarray, np.ndarray, list[tuple[int, s
         for j, names in enumerate(KINDS):
             if tag in names:
                 kind[i, j] = 1
-        bad[i], good[i] = _marks(attrs)
+        for w in map(weights.get, _tokens(attrs)):
+            if w:
+                good[i] += max(w, 0.0)
+                bad[i] += max(-w, 0.0)
         hidden[i] = attrs[3] or tag in UNSEEN
     sub = np.stack([own, links, stops, np.ones(n), kind[:, 6], kind[:, 8], (own > 0).astype(float)])
     for i in range(n - 1, 0, -1):
@@ -162,10 +178,10 @@ def node_features(page: Page) -> tuple[np.ndarray, np.ndarray, list[tuple[int, s
     rank, many, size, alike = np.zeros(n), np.ones(n), sub[0].copy(), np.ones(n)
     for group in kids:
         if group:
-            mean = sub[0][group].mean()
+            mean, tags = sub[0][group].mean(), Counter(page.tag[j] for j in group)
             for k, i in enumerate(group):
                 rank[i], many[i], size[i] = k / len(group), len(group), mean
-                alike[i] = sum(page.tag[j] == page.tag[i] for j in group) / len(group) if len(group) <= 64 else 1.0
+                alike[i] = tags[page.tag[i]] / len(group)
     chars = np.maximum(sub[0], 1)
     x = np.column_stack(
         [kind, up, bad, good, up_bad, up_good, hidden, depth, np.log1p(own), np.log1p(sub[0]), links / np.maximum(own, 1), sub[1] / chars, sub[0] / sub[3], 50 * stops / np.maximum(own, 1), 50 * sub[2] / chars]
@@ -197,33 +213,60 @@ def decode(parent: list[int], own: np.ndarray, logit: np.ndarray, hidden: np.nda
     return state == 0
 
 
+def _labelled(page: Page) -> tuple[np.ndarray, np.ndarray]:
+    """Of a made-up page the nodes with text below, and whether most of it is main text."""
+    kept, total = np.zeros(len(page.tag)), np.zeros(len(page.tag))
+    for node, text, _ in page.texts():
+        total[node] += len(text)
+        kept[node] += len(text) * (html_samples.MARK in text)
+    for i in range(len(page.tag) - 1, 0, -1):
+        kept[page.parent[i]] += kept[i]
+        total[page.parent[i]] += total[i]
+    use = np.flatnonzero(total > 0)
+    return use, (kept[use] > 0.5 * total[use]).astype(float)
+
+
+def token_weights() -> dict[str, float]:
+    """What each attribute token (of class, id, role, itemprop) says of a node, as the logarithm of its odds."""
+    seen, main, n, hits = Counter(), Counter(), 0, 0.0
+    for source in html_samples.pages(TOKEN_PAGES, TOKEN_SEED):
+        page = Page(source)
+        for i, y in zip(*_labelled(page)):
+            n, hits = n + 1, hits + y
+            for w in _tokens(page.attrs[i]):
+                seen[w] += 1
+                main[w] += y
+    base = np.log(hits / (n - hits))
+    return {w: float(np.log((main[w] + 1) / (k - main[w] + 1)) - base) for w, k in seen.items() if k >= LEAST_SEEN}
+
+
+@dataclass(frozen=True)
+class Extractor:
+    weights: dict[str, float]
+    trees: boosting.Boosted
+
+
 @lru_cache(1)
-def model() -> boosting.Boosted:
+def model() -> Extractor:
     """Trees learned from pages that html_samples makes, whose main text is known."""
+    weights = token_weights()
     xs, ys, ws = [], [], []
     for source in html_samples.pages():
         page = Page(source)
-        x, own, runs = node_features(page)
-        kept, total = np.zeros(len(own)), np.zeros(len(own))
-        for node, text, _ in runs:
-            total[node] += len(text)
-            kept[node] += len(text) * (html_samples.MARK in text)
-        for i in range(len(own) - 1, 0, -1):
-            kept[page.parent[i]] += kept[i]
-            total[page.parent[i]] += total[i]
-        use = total > 0
+        x, own, _ = node_features(page, weights)
+        use, y = _labelled(page)
         xs.append(x[use])
-        ys.append((kept[use] > 0.5 * total[use]).astype(float))
+        ys.append(y)
         ws.append(np.where(own[use] > 0, 1.0, 0.3))
-    return boosting.fit(np.concatenate(xs), np.concatenate(ys), np.concatenate(ws))
+    return Extractor(weights, boosting.fit(np.concatenate(xs), np.concatenate(ys), np.concatenate(ws)))
 
 
-def extract(sources: list[str | None], trees: boosting.Boosted) -> list[str]:
+def extract(sources: list[str | None], how: Extractor) -> list[str]:
     """The main text of each page."""
     pages = [Page(s or "") for s in sources]
-    rows = [node_features(p) for p in pages]
+    rows = [node_features(p, how.weights) for p in pages]
     cuts = np.cumsum([len(r[0]) for r in rows])[:-1]
-    logits = np.split(trees.logit(np.concatenate([r[0] for r in rows])), cuts) if rows else []
+    logits = np.split(how.trees.logit(np.concatenate([r[0] for r in rows])), cuts) if rows else []
     out = []
     for page, (x, own, runs), logit in zip(pages, rows, logits):
         keep = decode(page.parent, own, logit, x[:, len(KINDS) + 7 + 4])
@@ -236,16 +279,16 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     A null or empty html, one without text and one whose text is all chrome give an empty text and 0. Markup may
     be broken: elements end as HTML says they do, or with the page. Repeated rows stay; pages may be of any
-    length; an empty table gives an empty result; other columns are left alone.
+    length and depth (the work grows in proportion); an empty table gives an empty result; other columns are left alone.
     """
     shared = pages.sparkSession.sparkContext.broadcast(model())
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p in parts:
+        for p in slices(parts):
             texts = extract(p.column("html").to_pylist(), shared.value)
             yield pa.RecordBatch.from_arrays([p.column("page_id"), p.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return small_batches(pages).select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

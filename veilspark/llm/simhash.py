@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .sampling import small_batches
+from .sampling import slices
 from .store import written
 from .words import lower_words, shingle_hashes
 
@@ -34,7 +34,7 @@ def fingerprint(text: str | None, n: int = SHINGLE) -> int:
 
 
 def _fingerprints(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for p in parts:
+    for p in slices(parts):
         fp = np.array([fingerprint(t) for t in p.column("text").to_pylist()], np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([p.column("doc_id"), p.column("same"), pa.array(fp)], ["doc_id", "same", "fp"])
 
@@ -187,7 +187,7 @@ def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFram
 
 def _components(docs: DataFrame) -> DataFrame:
     """doc_id, same (a hash of the text), fp, root (names the component) and component_id for every row of docs."""
-    rows = small_batches(docs).select("doc_id", "text", F.xxhash64("text").alias("same"))
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("same"))
     prints = written(rows.mapInArrow(_fingerprints, "doc_id long, same long, fp long"), "simhash")
     reps = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-distinct")
     comps = connected_components(links(reps.select("fp", F.col("fp").alias("rep"))))
