@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .sampling import slices
-from .store import written
+from .store import fresh, written
 from .words import lower_words, shingle_hashes
 
 SHINGLE, RADIUS = 3, 3
-TILE = 8192
+TILE = 8192  # fingerprints of a unit of work, at most
+CELL = 1024  # fingerprints of a tile: two tiles are compared as a whole, or not at all
 BATCH = 1 << 16  # rows of tiles looked at together
 STEP = 1 << 21  # cells of a tile pair compared at once
 
@@ -39,7 +40,7 @@ def _fingerprints(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([p.column("doc_id"), p.column("same"), pa.array(fp)], ["doc_id", "same", "fp"])
 
 
-def forest(fp: np.ndarray, ids: np.ndarray, other: slice | None = None, radius: int = RADIUS) -> list[tuple[int, int]]:
+def forest(fp: np.ndarray, ids: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
     """Links (pairs of ids) that connect all fingerprints which lie within the radius of each other, at most one
     for each fingerprint: from each one reached, only those not reached yet are compared, by exclusive-or and bit
     count over blocks of a bounded size."""
@@ -60,39 +61,61 @@ def forest(fp: np.ndarray, ids: np.ndarray, other: slice | None = None, radius:
     return out
 
 
-def between(fa: np.ndarray, ia: np.ndarray, fb: np.ndarray, ib: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
-    """Links between two tiles: for each fingerprint of either one to its nearest-placed partner, and, where a
-    row has several partners, one from each of them; connects what the full list of pairs would."""
-    root = np.arange(len(fa) + len(fb))
+def across(fa: np.ndarray, ia: np.ndarray, fb: np.ndarray, ib: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
+    """Links between two tiles that connect what lies within the radius across them, fewer than fingerprints: from
+    each one reached, only those of the other tile that are not reached yet are looked at."""
+    near = np.bitwise_count(fa[:, None] ^ fb[None, :]) <= radius
+    rows, cols = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+    near, out = near[np.ix_(rows, cols)], []
+    left, right = np.ones(len(rows), bool), np.ones(len(cols), bool)
+    for first in range(len(rows)):
+        front, here = (np.array([first]) if left[first] else np.zeros(0, np.int64)), True
+        left[first] = False
+        while len(front):
+            part, free = (near[front], right) if here else (near[:, front].T, left)
+            hit = np.flatnonzero(part.any(axis=0) & free)
+            if len(hit):
+                frm = front[part[:, hit].argmax(axis=0)]
+                a, b = (frm, hit) if here else (hit, frm)
+                out += zip(ia[rows[a]].tolist(), ib[cols[b]].tolist())
+                free[hit] = False
+            front, here = hit, not here
+    return out
+
+
+def _tiles(fp: np.ndarray) -> list[tuple[slice, int, int]]:
+    """Fingerprints in order of bit count as tiles: where each lies, and its least and largest bit count."""
+    count = np.bitwise_count(fp)
+    return [(slice(i, i + CELL), int(count[i]), int(count[min(i + CELL, len(fp)) - 1])) for i in range(0, len(fp), CELL)]
+
+
+def tiled(fa: np.ndarray, ia: np.ndarray, fb: np.ndarray, ib: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
+    """Links between two sides in order of bit count, a tile of each at a time; tiles whose bit counts differ by
+    more than the radius are skipped."""
+    return [x for a, la, ha in _tiles(fa) for b, lb, hb in _tiles(fb) if lb - ha <= radius and la - hb <= radius for x in across(fa[a], ia[a], fb[b], ib[b], radius)]
 
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
 
-    out = []
-    step = max(1, STEP // max(1, len(fb)))
-    for i in range(0, len(fa), step):
-        near = np.bitwise_count(fa[i : i + step, None] ^ fb[None, :]) <= radius
-        for r in np.flatnonzero(near.any(axis=1)).tolist():
-            for c in np.flatnonzero(near[r]).tolist():
-                x, y = find(i + r), find(len(fa) + c)
-                if x != y:
-                    root[y] = x
-                    out.append((int(ia[i + r]), int(ib[c])))
+def tiled_within(fp: np.ndarray, ids: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
+    """Links within one side in order of bit count, as tiled()."""
+    tiles, out = _tiles(fp), []
+    for i, (a, _, high) in enumerate(tiles):
+        out += forest(fp[a], ids[a], radius)
+        for b, low, _ in tiles[i + 1 :]:
+            if low - high > radius:
+                break
+            out += across(fp[a], ids[a], fp[b], ids[b], radius)
     return out
 
 
 def _runs(key: np.ndarray, fp: np.ndarray, ids: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Links within runs of equal keys (the rows in order of key and bit count): offset by offset over all runs at
-    once for short runs, by forest() for long ones. An offset's pairs whose bit counts differ by more than the
+    once for short runs, tile by tile for long ones. An offset's pairs whose bit counts differ by more than the
     radius are skipped."""
     out: list[tuple[int, int]] = []
     edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(np.concatenate([edge, [len(key)]]))
     for a, n in zip(edge[size > 64].tolist(), size[size > 64].tolist()):
-        out += forest(fp[a : a + n], ids[a : a + n], radius=radius)
+        out += tiled_within(fp[a : a + n], ids[a : a + n], radius)
     short = np.repeat(size <= 64, size)
     key, fp, ids = key[short], fp[short], ids[short]
     count = np.bitwise_count(fp).astype(np.int64)
@@ -147,7 +170,7 @@ def _links(p: pd.DataFrame, radius: int) -> pd.DataFrame:
         cut = np.flatnonzero(np.diff(unit[two])) + 1
         for x in np.split(two, cut):
             a, b = x[side[x] == 0], x[side[x] == 1]
-            out += between(fp[a], ids[a], fp[b], ids[b], radius)
+            out += tiled(fp[a], ids[a], fp[b], ids[b], radius)
     return pd.DataFrame(np.array(out, np.int64).reshape(-1, 2), columns=["a", "b"])
 
 
@@ -156,33 +179,41 @@ def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFram
     radius.
 
     Two fingerprints that differ in at most radius bits agree in one of radius + 1 blocks of bits, so the pairs
-    of each block's equal values are all that must be compared. Such a group is one tile, or, if it is larger,
-    is cut into tiles by bit count; pairs of its tiles whose bit counts differ by more than the radius are
-    never made. Groups are numbered by block and value, 2^16 values a block at most, so the table of large
-    groups that is broadcast has at most (radius + 1) * 2^16 rows.
+    of each block's equal values are all that must be compared. Such a group is one unit of work. The rows of a
+    group that is too large for that differ in the other bits alone, so they agree in one of radius + 1 blocks of
+    those, which splits the group again. What is still too large is cut into units by bit count; pairs of them
+    whose bit counts differ by more than the radius are never made. Groups are numbered by block and value, 2^16
+    values a block at most, so the table of large groups that is broadcast has at most (radius + 1) * 2^16 rows.
     """
     blocks = radius + 1
     width = -(-64 // blocks)
     if width > 16:
         raise ValueError("a radius under 3 needs a wider table of groups")
     keys = F.array(*[F.lit(i << 16) + F.shiftrightunsigned("fp", i * width).bitwiseAND(F.lit((1 << width) - 1)).cast("int") for i in range(blocks)])
-    rows = prints.select("fp", "rep", F.explode(keys).alias("key"))
-    large = rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > tile)
-    rows = rows.join(F.broadcast(large), "key", "left").withColumn("pc", F.bit_count("fp").cast("int"))
-    small = rows.filter("n is null").select(F.col("key").cast("long").alias("unit"), F.lit(-1).alias("side"), "fp", "rep", "pc")
-    # A large group's tiles: bit count and, where a count has many, a hash. Tile pairs meet in a unit of their own.
-    cuts = F.ceil(F.col("n") / tile).cast("int")
-    big = rows.filter("n is not null").withColumn("cuts", cuts).withColumn("cut", F.pmod(F.xxhash64("rep"), F.col("cuts")).cast("int"))
-    me = F.col("pc") * F.col("cuts") + F.col("cut")
-    mates = F.flatten(F.transform(F.sequence(F.col("pc") - radius, F.col("pc") + radius), lambda pc: F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda c: pc * F.col("cuts") + c)))
-    big = big.withColumn("me", me).withColumn("mate", F.explode(mates)).filter("mate >= 0")
-    lo, hi = F.least("me", "mate").cast("long"), F.greatest("me", "mate").cast("long")
-    unit = F.xxhash64("key", lo, hi).bitwiseOR(F.lit(1 << 20)).bitwiseAND(F.lit((1 << 62) - 1))
-    side = F.when(F.col("me") == F.col("mate"), -1).when(F.col("me") < F.col("mate"), 0).otherwise(1)
-    big = big.select(unit.alias("unit"), side.alias("side"), "fp", "rep", "pc")
+    rows = prints.select("fp", "rep", F.explode(keys).alias("key")).withColumn("pc", F.bit_count("fp").cast("int"))
+    large = rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > tile).select(F.col("key").alias("large"))
+    columns = ["unit", "side", "fp", "rep", "pc"]
+    units = rows.join(F.broadcast(large), F.col("key") == F.col("large"), "left")
+    small = units.filter("large is null").select(F.col("key").cast("long").alias("unit"), F.lit(-1).alias("side"), "fp", "rep", "pc")
+    if not large.isEmpty():
+        part = -(-(64 - width) // blocks)
+        turned = [F.shiftrightunsigned("fp", i * width).bitwiseOR(F.shiftleft("fp", (64 - i * width) % 64)) for i in range(blocks)]
+        other = F.element_at(F.array(*turned), F.shiftright("key", 16) + 1)  # the group's own block lowest
+        rest = [F.xxhash64("key", F.lit(j), F.shiftrightunsigned(other, width + j * part).bitwiseAND(F.lit((1 << part) - 1))) for j in range(blocks)]
+        again = units.filter("large is not null").select("fp", "rep", "pc", F.explode(F.array(*rest)).alias("unit"))
+        again = again.join(again.groupBy("unit").agg(F.count("*").alias("n")), "unit")
+        cuts = F.ceil(F.col("n") / tile).cast("int")
+        small = small.unionByName(again.filter(F.col("n") <= tile).select("unit", F.lit(-1).alias("side"), "fp", "rep", "pc"))
+        big = again.filter(F.col("n") > tile).withColumn("cuts", cuts).withColumn("cut", F.pmod(F.xxhash64("rep"), F.col("cuts")).cast("int"))
+        me = F.col("pc") * F.col("cuts") + F.col("cut")
+        mates = F.flatten(F.transform(F.sequence(F.col("pc") - radius, F.col("pc") + radius), lambda pc: F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda c: pc * F.col("cuts") + c)))
+        big = big.withColumn("me", me).withColumn("mate", F.explode(mates)).filter("mate >= 0")
+        pair = F.xxhash64("unit", F.least("me", "mate"), F.greatest("me", "mate"))
+        side = F.when(F.col("me") == F.col("mate"), -1).when(F.col("me") < F.col("mate"), 0).otherwise(1)
+        small = small.unionByName(big.select(pair.alias("unit"), side.alias("side"), "fp", "rep", "pc"))
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    units = small.unionByName(big).repartition(parts, "unit").sortWithinPartitions("unit", "pc", "fp")
-    return units.mapInPandas(_compare(radius), "a long, b long").distinct()
+    dealt = small.select(*columns).repartition(parts, "unit").sortWithinPartitions("unit", "pc", "fp")
+    return dealt.mapInPandas(_compare(radius), "a long, b long").distinct()
 
 
 def _components(docs: DataFrame) -> DataFrame:
@@ -210,11 +241,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of each component: that with the smallest doc_id (rows without one come last), of those with that
-    doc_id the one with the smallest fingerprint, then by a hash of the text; of equal rows, one."""
+    doc_id the one with the smallest fingerprint, then by a hash of the text; of rows that are equal in doc_id and
+    text any one, since they differ in other columns alone. Null texts are a component with the empty ones; other
+    columns may have any names; an empty table gives an empty result."""
+    ident, same, mine = (fresh(docs.columns, c) for c in ("_id", "_kept", "_same"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "same")).alias("first")
-    kept = _components(docs).groupBy("root").agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first.same").alias("_kept"))
-    rows = docs.withColumn("_same", F.xxhash64("text"))
-    return rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_same") == F.col("_kept")), "left_semi").dropDuplicates(["doc_id", "_same"]).drop("_same")
+    kept = _components(docs).groupBy("root").agg(first).select(F.col("first.doc_id").alias(ident), F.col("first.same").alias(same))
+    rows = docs.withColumn(mine, F.xxhash64("text"))
+    return rows.join(kept, F.col("doc_id").eqNullSafe(F.col(ident)) & (F.col(mine) == F.col(same)), "left_semi").dropDuplicates(["doc_id", mine]).drop(mine)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
