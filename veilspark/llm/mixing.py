@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import fresh, written
 
 WORD_GAP = r"[\x20\x09-\x0D]+"
-BUCKETS = 1024
+STEP_BITS, STEPS = 10, 4  # a key's place has 40 bits; each step looks 10 bits further into the bucket that holds the cut
+SORTED_ROWS = 100_000  # documents of one bucket that are sorted at once, unless their places are all equal
 BROADCAST_SOURCES = 10_000
 
 
@@ -54,36 +55,53 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: int)
 
 
 def keyed(rows: DataFrame, quality: Column, seed: int) -> DataFrame:
-    """rows with their sampling key, the key's bucket and what orders equal keys."""
+    """rows with their sampling key, its place (where the key lies among all keys, 0 to 2^40 - 1) and what orders
+    equal keys."""
+    places = 1 << (STEP_BITS * STEPS)
     key = -F.log(uniform(F.col("doc_id"), seed)) / quality
-    bucket = F.least(F.lit(BUCKETS - 1), F.floor((1 - F.exp(-F.col("_key"))) * BUCKETS).cast("int"))
-    return rows.select("doc_id", "source", "size", key.alias("_key"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_tie")).withColumn("_bucket", bucket)
+    place = F.least(F.lit(places - 1), F.floor((1 - F.exp(-F.col("_key"))) * places))
+    return rows.select("doc_id", "source", "size", key.alias("_key"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_tie")).withColumn("_place", place.cast("long"))
 
 
 def cuts(rows: DataFrame, weights: tuple[int, ...], share: float, most: int) -> DataFrame:
     """One row for each source: source_size, target, epochs (complete ones) and where the last, fractional one
-    stops: everything in buckets under _at, and in bucket _at up to _cut.
+    stops: everything at places under _at, and from there to before _until all up to _cut.
 
-    rows: source, size, _key, _bucket, _tie. Sizes are summed by source and bucket first, so prefix sums run
-    over at most BUCKETS rows for a source; only the documents of one bucket for each source are sorted.
+    rows: source, size, _key, _place, _tie. Sizes are summed by source and bucket of places first, so prefix sums
+    run over at most 1,024 rows for a source; the bucket that holds the cut is looked into in the same way until few
+    documents are left, and only these are sorted. Documents of equal key, id and size are taken together.
     """
-    hist = rows.groupBy("source", "_bucket").agg(F.sum("size").alias("words"))
-    goal = targets(hist.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
+    sums = written(rows.groupBy("source", F.shiftright("_place", STEP_BITS * (STEPS - 1)).alias("_bucket")).agg(F.sum("size").alias("words"), F.count("*").alias("n")), "mix-sums")
+    goal = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
     goal = goal.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
-    goal = goal.withColumn("rest", F.col("target") - (F.col("epochs") * F.col("source_size")).cast("double"))
-    over = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = hist.withColumn("upto", F.sum("words").over(over)).withColumn("below", F.col("upto") - F.col("words"))
-    g, r = goal.alias("g"), run.alias("r")
-    stop = (F.col("g.source").eqNullSafe(F.col("r.source"))) & (F.col("r.below") < F.col("g.rest")) & (F.col("g.rest") <= F.col("r.upto"))
-    edge = g.join(r, stop, "left").select("g.*", F.coalesce("_bucket", F.lit(-1)).alias("_at"), "below")
-    edge = written(edge, "mix-edges")
-    near = rows.alias("d").join(_small(edge.select("source", "_at", "below", "rest")).alias("e"), F.col("d.source").eqNullSafe(F.col("e.source")) & (F.col("d._bucket") == F.col("e._at")))
-    near = near.select("d.source", "size", "_key", "_tie", "below", "rest")
+    edge = goal.withColumn("rest", F.col("target") - (F.col("epochs") * F.col("source_size")).cast("double")).withColumn("below", F.lit(0).cast("long"))
+    names = [*edge.columns]
+    for step in range(STEPS):
+        bits = STEP_BITS * (STEPS - 1 - step)
+        over = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        run = sums.withColumn("_upto", F.sum("words").over(over)).withColumn("_below", F.col("_upto") - F.col("words"))
+        g, r = edge.alias("g"), run.alias("r")
+        stop = (F.col("g.source").eqNullSafe(F.col("r.source"))) & (F.col("g.below") + F.col("r._below") < F.col("g.rest")) & (F.col("g.rest") <= F.col("g.below") + F.col("r._upto"))
+        own = [F.col(f"g.{c}") for c in names if c != "below"]
+        edge = g.join(r, stop, "left").select(*own, (F.col("g.below") + F.coalesce("_below", F.lit(0))).alias("below"), F.shiftleft(F.coalesce("_bucket", F.lit(-1)), bits).alias("_at"), F.shiftleft(F.coalesce("_bucket", F.lit(-1)) + 1, bits).alias("_until"), F.coalesce("n", F.lit(0)).alias("n"))
+        edge = written(edge, "mix-edges")
+        near = _near(rows, edge)
+        if step == STEPS - 1 or (edge.agg(F.max("n")).first()[0] or 0) <= SORTED_ROWS:
+            break
+        sums = written(near.groupBy("source", F.shiftright("_place", bits - STEP_BITS).alias("_bucket")).agg(F.sum("size").alias("words"), F.count("*").alias("n")), "mix-sums")
     order = Window.partitionBy("source").orderBy("_key", "_tie", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = near.withColumn("upto", F.sum("size").over(order) + F.col("below")).filter(F.col("upto") - F.col("size") / 2 <= F.col("rest"))
+    same = near.groupBy("source", "_key", "_tie", "size", "below", "rest").agg((F.count("*") * F.col("size")).alias("words"))
+    last = same.withColumn("upto", F.sum("words").over(order) + F.col("below")).filter(F.col("upto") - F.col("words") / 2 <= F.col("rest"))
     last = last.groupBy("source").agg(F.max(F.struct("_key", "_tie", "size")).alias("_cut"))
     e, t = edge.alias("e"), last.alias("t")
-    return e.join(t, F.col("e.source").eqNullSafe(F.col("t.source")), "left").select("e.source", "source_size", "target", "epochs", "_at", "_cut")
+    return e.join(t, F.col("e.source").eqNullSafe(F.col("t.source")), "left").select("e.source", "source_size", "target", "epochs", "_at", "_until", "_cut")
+
+
+def _near(rows: DataFrame, edge: DataFrame) -> DataFrame:
+    """The rows of each source between _at and _until."""
+    e = _small(edge.select("source", "_at", "_until", "below", "rest")).alias("e")
+    hit = F.col("d.source").eqNullSafe(F.col("e.source")) & (F.col("d._place") >= F.col("e._at")) & (F.col("d._place") < F.col("e._until"))
+    return rows.alias("d").join(e, hit).select("d.source", "size", "_key", "_tie", "_place", "below", "rest")
 
 
 def _small(table: DataFrame) -> DataFrame:
@@ -92,7 +110,7 @@ def _small(table: DataFrame) -> DataFrame:
 
 
 def taken_times() -> Column:
-    inside = (F.col("_bucket") < F.col("_at")) | ((F.col("_bucket") == F.col("_at")) & F.coalesce(F.struct("_key", "_tie", "size") <= F.col("_cut"), F.lit(False)))
+    inside = (F.col("_place") < F.col("_at")) | ((F.col("_place") < F.col("_until")) & F.coalesce(F.struct("_key", "_tie", "size") <= F.col("_cut"), F.lit(False)))
     return F.col("epochs") + F.when(inside, 1).otherwise(0)
 
 
@@ -112,7 +130,8 @@ def mix_sources(docs: DataFrame, labels: DataFrame | None = None, weights: tuple
     first; the rest of its target goes to documents in the order of exponential keys divided by their quality
     weight, up to the document whose middle passes the target. Null and empty texts have size 0; null is a source
     of its own, after the others; repeated rows count as rows; an empty table gives an empty result; a source of
-    empty texts has target 0. Equal keys go by doc_id, then size. The same rows give the same mix in any layout.
+    empty texts has target 0. Equal keys go by doc_id, then size, and rows equal in those go together. Texts may be
+    of any length. The same rows give the same mix in any layout.
     """
     slim = docs.select("doc_id", "text", "source").withColumn("size", word_count(F.col("text"))).drop("text")
     rows, quality = with_quality(slim, labels)
@@ -124,10 +143,19 @@ def mix_sources(docs: DataFrame, labels: DataFrame | None = None, weights: tuple
 
 
 def mixed_documents(docs: DataFrame, labels: DataFrame | None = None, **how) -> DataFrame:
-    """The documents of the mix, each as often as it is taken (not at all, once or up to most times)."""
-    times = mix_sources(docs, labels, **how).filter("times > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("times").alias("_times"))
-    out = docs.join(times, docs["doc_id"].eqNullSafe(F.col("_id")))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(*[docs[c] for c in docs.columns])
+    """The documents of the mix, each as often as it is taken (not at all, once or up to most times).
+
+    How often a row is taken depends on its doc_id, source and size alone, so rows without doc_id and rows of a
+    repeated one are each taken by their own size. Null and empty texts have no words and are taken with their
+    place in the order; all columns stay, whatever their names; an empty table gives an empty result.
+    """
+    ident, source, size, times, copy, mine = (fresh(docs.columns, c) for c in ("_id", "_source", "_size", "_times", "_copy", "_words"))
+    taken = mix_sources(docs, labels, **how).filter("times > 0")
+    taken = taken.select(F.col("doc_id").alias(ident), F.col("source").alias(source), F.col("size").alias(size), F.col("times").alias(times)).distinct()
+    rows = docs.withColumn(mine, word_count(F.col("text")))
+    same = [F.col(a).eqNullSafe(F.col(b)) for a, b in (("doc_id", ident), ("source", source), (mine, size))]
+    out = rows.join(taken, same[0] & same[1] & same[2])
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
