@@ -6,30 +6,39 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def snapshots(turns: DataFrame) -> DataFrame:
-    """One row for each conversation: conv_id, turns (array of role and text in turn order), prefixes (the rolling
-    hash after each turn).
+LANES = 4  # running sums of 40 bits each that make a prefix hash
+_LANE = (1 << 40) - 1
 
-    A turn's hash covers the hash of the turns before it, so equal hashes mean equal beginnings. Null role and
-    null text are values of their own, apart from empty ones.
+
+def prefixes(turns: DataFrame) -> DataFrame:
+    """turns (conv_id, turn, role, text) with i, the place in the conversation (from 1), n, its number of turns, and
+    prefix, the rolling hash of the conversation up to the turn.
+
+    Each turn is hashed with its place, and the hash rolls on by adding the next turn's, so equal hashes mean equal
+    beginnings and a turn costs the same however many come before it. Null role and null text are values of their
+    own, apart from empty ones.
     """
     said = F.sha2(F.concat_ws("\x1f", F.coalesce(F.concat(F.lit("="), "role"), F.lit("-")), F.coalesce(F.concat(F.lit("="), "text"), F.lit("-"))), 256)
-    rows = turns.select("conv_id", F.struct("turn", said.alias("said"), "role", "text").alias("x"))
-    convs = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
-    roll = F.aggregate("x", F.array().cast("array<string>"), lambda acc, t: F.concat(acc, F.array(F.sha2(F.concat(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit("")), t["said"]), 256))))
-    return convs.select("conv_id", F.transform("x", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"), roll.alias("prefixes"))
+    order = Window.partitionBy("conv_id").orderBy("turn", "said", "role", "text")
+    rows = turns.withColumn("said", said).withColumn("i", F.row_number().over(order))
+    lanes = [F.xxhash64("said", "i", F.lit(lane)).bitwiseAND(F.lit(_LANE)) for lane in range(LANES)]
+    for lane, h in enumerate(lanes):
+        rows = rows.withColumn(f"l{lane}", h)
+    upto = Window.partitionBy("conv_id").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rolled = F.array(*[F.sum(f"l{lane}").over(upto) for lane in range(LANES)])
+    return rows.select("conv_id", "role", "text", "i", F.count("*").over(Window.partitionBy("conv_id")).alias("n"), rolled.alias("prefix"))
 
 
-def maximal(convs: DataFrame) -> DataFrame:
-    """The conversations that are no beginning of a longer one; of equal ones that with the smallest conv_id.
+def maximal(rows: DataFrame) -> DataFrame:
+    """Of rows of prefixes() the conv_id of conversations that are no beginning of a longer one; of equal ones the
+    smallest.
 
     Equal conversations meet in a minimum that is taken before the shuffle, and hashes of beginnings are made
     distinct before the anti-join, so a very common conversation or first turn is one key with one row.
     """
-    last = F.element_at("prefixes", -1)
-    one = convs.groupBy(last.alias("whole")).agg(F.min("conv_id").alias("conv_id"))
-    shorter = convs.select(F.explode(F.slice("prefixes", 1, F.size("prefixes") - 1)).alias("whole")).distinct()
-    return one.join(shorter, "whole", "left_anti").select("conv_id")
+    one = rows.filter("i = n").groupBy("prefix").agg(F.min("conv_id").alias("conv_id"))
+    shorter = rows.filter("i < n").select("prefix").distinct()
+    return one.join(shorter, "prefix", "left_anti").select("conv_id")
 
 
 def render(turns: Column) -> Column:
@@ -40,13 +49,15 @@ def render(turns: Column) -> Column:
 def format_conversations(turns: DataFrame) -> DataFrame:
     """conv_id, n_turns, rendered for each maximal conversation of turns (conv_id, turn, role, text).
 
-    Turns go by number, equal numbers by a hash of role and text; a repeated row is a turn said twice. Rows
-    without conv_id belong to no conversation and are left out. An empty table gives an empty result; other
-    columns are left alone.
+    Turns go by number (null first), equal numbers by a hash of role and text; a repeated row is a turn said twice.
+    Rows without conv_id belong to no conversation and are left out. Conversations may have any number of turns,
+    of texts of any length; a conversation's rendering is one value. An empty table gives an empty result; other
+    columns are left alone, whatever their names.
     """
-    convs = snapshots(turns.select("conv_id", "turn", "role", "text").filter("conv_id is not null"))
-    kept = convs.join(maximal(convs), "conv_id", "left_semi")
-    return kept.select("conv_id", F.size("turns").cast("long").alias("n_turns"), render(F.col("turns")).alias("rendered"))
+    rows = prefixes(turns.select("conv_id", "turn", "role", "text").filter("conv_id is not null"))
+    kept = rows.join(maximal(rows.select("conv_id", "i", "n", "prefix")), "conv_id", "left_semi")
+    whole = kept.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("i", "role", "text"))).alias("turns"))
+    return whole.select("conv_id", F.size("turns").cast("long").alias("n_turns"), render(F.col("turns")).alias("rendered"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
