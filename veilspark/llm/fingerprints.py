@@ -87,49 +87,66 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).when(whole == 0, 0.0).otherwise(F.greatest(F.lit(0.0), 1.0 - apart.cast("double") / whole.cast("double")))
 
 
-def ranges(docs: DataFrame) -> list[int]:
-    """Bounds of ranges of doc_id with like numbers of rows, from a sketch of bounded size; the number of ranges
-    follows the shuffle partitions."""
+def ranges(docs: DataFrame) -> tuple[list[int], dict[int | None, int]]:
+    """Bounds of ranges of doc_id with like numbers of rows, from a sketch of bounded size, and the ids (null too)
+    whose rows fill several ranges by themselves, with how many. The number of ranges follows the shuffle
+    partitions."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n = 2
     while n < min(2 * parts, MAX_RANGES):
         n *= 2
-    found = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 4 * n)).first()[0]
-    return sorted(set(found or []))
-
-
-def range_of(ident: Column, bounds: list[int]) -> Column:
-    """How many bounds lie below ident, by bisection; -1 for null."""
-    if not bounds:
-        return F.when(ident.isNull(), -1).otherwise(0)
-    step = 1
+    found, rows, none = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 4 * n), F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
+    many: dict[int | None, int] = {}
+    for b in found or []:
+        many[b] = many.get(b, 0) + 1
+    heavy = {b: k for b, k in many.items() if k > 1}
+    if none * n > rows:
+        heavy[None] = -(-none * n // rows)
+    return sorted(many), heavy
+
+
+def range_of(ident: Column, tie: Column, bounds: list[int], heavy: dict[int | None, int]) -> Column:
+    """The range of a row, smaller for larger ids, null last: ids by bisection of the bounds, rows of an id that
+    fills several ranges by tie, smaller ones first."""
+    step, steps = 1, []
     while step * 2 <= len(bounds):
         step *= 2
-    steps = []
-    while step:
+    while step and bounds:
         steps.append(step)
         step //= 2
-    table = F.array(*[F.lit(int(b)).cast("long") for b in bounds])
-    down = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, s: F.when(F.coalesce(F.get(table, at + s - 1) < ident, F.lit(False)), at + s).otherwise(at))
-    return F.when(ident.isNull(), -1).otherwise(down)
+    below = F.lit(0)
+    if bounds:
+        table = F.array(*[F.lit(int(b)).cast("long") for b in bounds])
+        below = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, s: F.when(F.coalesce(F.get(table, at + s - 1) < ident, F.lit(False)), at + s).otherwise(at))
+    times = F.lit(1)
+    if ids := [b for b in heavy if b is not None]:
+        known = F.create_map(*[F.lit(x) for b in ids for x in (int(b), heavy[b])])
+        times = F.coalesce(F.try_element_at(known, ident), F.lit(0))  # 0: behind the id that shares the range
+    times = F.when(ident.isNull(), F.lit(heavy.get(None, 1))).otherwise(times)
+    share = F.floor((F.shiftright(tie, 44) + (1 << 19)) * times / F.lit(float(1 << 20))).cast("long")
+    part = F.when(times == 0, F.lit(MAX_RANGES)).otherwise(share)
+    return (F.when(ident.isNull(), len(bounds) + 1).otherwise(len(bounds) - below)).cast("long") * (2 * MAX_RANGES) + part
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text and next_text (of the next document, descending doc_id; after the last the first) for every
     row of docs, with _range and _place, which name the row.
 
-    Equal ids go by a hash of the text; null ids come last. Rows are dealt by ranges of doc_id and looked at
-    within a range; the first row of the range below is added to each range's end, so no task sorts all rows.
-    The rows added, and the table broadcast for them, are at most as many as ranges.
+    Equal ids go by a hash of the text; null ids come last. Rows are dealt by ranges of doc_id (an id that very
+    many rows have by ranges of the hash) and looked at within a range; the first row of the range that follows is
+    added to each range's end, so no task sorts all rows. The rows added, and the table broadcast for them, are at
+    most as many as ranges.
     """
-    bounds = ranges(docs)
-    rows = docs.select("doc_id", "text", range_of(F.col("doc_id"), bounds).alias("_range"))
-    first = docs.select("doc_id", range_of(F.col("doc_id"), bounds).alias("_range")).groupBy("_range").agg(F.max("doc_id").alias("top"))
+    bounds, heavy = ranges(docs)
+    tie = F.xxhash64("text")
+    rows = docs.select("doc_id", "text", tie.alias("_tie"), range_of(F.col("doc_id"), tie, bounds, heavy).alias("_range"))
+    first = rows.groupBy("_range").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.bitwise_not("doc_id").alias("id"), F.col("_tie").alias("tie"))).alias("f"))
     before, every = Window.orderBy("_range"), Window.partitionBy()  # one row for each range
-    # Ids descend, so a range is followed by the one below it, and the lowest by the highest.
-    first = first.select("top", F.coalesce(F.lead("_range").over(before), F.min("_range").over(every)).alias("_to"))
-    heads = docs.select("doc_id", "text").join(F.broadcast(first), F.col("doc_id").eqNullSafe(F.col("top"))).select("doc_id", "text", F.col("_to").alias("_range"))
-    both = rows.withColumn("_added", F.lit(0)).unionByName(heads.withColumn("_added", F.lit(1))).withColumn("_tie", F.xxhash64("text"))
+    # The first row of a range ends the range before it, and that of the first one the last.
+    first = first.select(F.bitwise_not("f.id").alias("top"), F.col("f.tie").alias("tie"), F.coalesce(F.lag("_range").over(before), F.max("_range").over(every)).alias("_to"))
+    heads = docs.select("doc_id", "text").join(F.broadcast(first), F.col("doc_id").eqNullSafe(F.col("top")) & (F.xxhash64("text") == F.col("tie")))
+    heads = heads.groupBy("_to").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text")).select("doc_id", "text", F.xxhash64("text").alias("_tie"), F.col("_to").alias("_range"))
+    both = rows.withColumn("_added", F.lit(0)).unionByName(heads.withColumn("_added", F.lit(1)))
     order = Window.partitionBy("_range").orderBy("_added", F.col("doc_id").desc_nulls_last(), "_tie")
     out = both.select("doc_id", "text", "_range", "_added", F.row_number().over(order).alias("_place"), F.lead("text").over(order).alias("next_text"))
     return out.filter("_added = 0").drop("_added")
@@ -140,7 +157,8 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
 
     The edited text has the last floor(n_chars / 2) code points replaced by the first as many (or all) of the
     next document. Null texts count as empty (n_chars 0, all lanes 0); a table of one row is its own next; an
-    empty table gives an empty result; rows with equal ids keep a fixed order; other columns are left alone.
+    empty table gives an empty result; rows with equal ids keep a fixed order, and any number of rows may have one
+    id or none; texts may be of any length; other columns are left alone, whatever their names.
 
     Texts are shuffled once, by range; all sums that follow have the range in their keys, so they need no
     exchange of their own.
