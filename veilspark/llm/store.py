@@ -45,6 +45,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    fs, at = _at(spark, path)
+    fs.delete(at, True)
+
+
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[list[str]]:
     """Tables written within are deleted at the end, but for those whose folders are taken off the list."""
@@ -53,8 +58,7 @@ def scratch(spark: SparkSession) -> Iterator[list[str]]:
         yield _SCOPES[-1]
     finally:
         for path in _SCOPES.pop():
-            fs, at = _at(spark, path)
-            fs.delete(at, True)
+            delete(spark, path)
 
 
 def written_alone(make, spark: SparkSession, name: str) -> DataFrame:
