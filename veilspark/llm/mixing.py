@@ -83,7 +83,7 @@ def cuts(rows: DataFrame, weights: tuple[int, ...], share: float, most: int) ->
         g, r = edge.alias("g"), run.alias("r")
         stop = (F.col("g.source").eqNullSafe(F.col("r.source"))) & (F.col("g.below") + F.col("r._below") < F.col("g.rest")) & (F.col("g.rest") <= F.col("g.below") + F.col("r._upto"))
         own = [F.col(f"g.{c}") for c in names if c != "below"]
-        edge = g.join(r, stop, "left").select(*own, (F.col("g.below") + F.coalesce("_below", F.lit(0))).alias("below"), F.shiftleft(F.coalesce("_bucket", F.lit(-1)), bits).alias("_at"), F.shiftleft(F.coalesce("_bucket", F.lit(-1)) + 1, bits).alias("_until"), F.coalesce("n", F.lit(0)).alias("n"))
+        edge = g.join(r, stop, "left").select(*own, (F.col("g.below") + F.coalesce("_below", F.lit(0))).alias("below"), F.shiftleft(F.coalesce("r._bucket", F.lit(-1)), bits).alias("_at"), F.shiftleft(F.coalesce("_bucket", F.lit(-1)) + 1, bits).alias("_until"), F.coalesce("r.n", F.lit(0)).alias("n"))
         edge = written(edge, "mix-edges")
         near = _near(rows, edge)
         if step == STEPS - 1 or (edge.agg(F.max("n")).first()[0] or 0) <= SORTED_ROWS:
