@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +18,8 @@ from .sampling import fold, sample_by_class, slices
 SAMPLE_TOXIC, SAMPLE_ORDINARY = 1500, 3000  # labelled documents to learn from, at most about so many
 WINDOW = 8  # words compressed together
 LEVEL = 9
-OWN, BASE = 1024, 2048  # bytes that the trainer may give to what marks a class, and to ordinary text
+OWN, BASE = 1024, 1 << 14  # bytes of what marks a class, and of what the trainer makes of ordinary text
+BASE_ROWS = 1500  # of the ordinary documents sampled, those whose windows the trainer gets
 SEGMENT, DMER = 64, 6  # of the trainer's cover search
 LIFT, LEAST = 20.0, 0.03
 FOLDS = 3  # the calibration sees each document through dictionaries of the other folds
@@ -36,27 +36,18 @@ def windows(text: str | None) -> list[bytes]:
     return [f" {' '.join(words[i : i + WINDOW])} ".encode("utf-8", "surrogatepass") for i in range(0, len(words), WINDOW)]
 
 
-def _starts(word: bytes) -> list[bytes]:
-    """Beginnings of 4 to 11 bytes of a word, and the whole word, with the blanks around them."""
-    return [word[:n] for n in range(5, min(len(word), 13))] + [word]
-
-
-def _words(windows_: Iterable[bytes]) -> set[bytes]:
-    return {b" " + w + b" " for x in windows_ for w in x.split()}
-
-
 def _least(n: int) -> float:
     """Documents of a class that must hold what marks it: three in a hundred, at least 10, or with few documents down to 4."""
     return max(LEAST * n, min(10.0, max(4.0, 0.6 * n**0.5)))
 
 
-def content(own: Counter, other: Counter, n_own: int, n_other: int) -> bytes:
-    """What marks a class: beginnings that are far more common in its documents than in the other's, those that
-    cover most bytes of its documents last, where zstandard finds them nearest."""
-    found = sorted(((v * len(g), g) for g, v in own.items() if v >= _least(n_own) and v / max(1, n_own) >= LIFT * (other[g] + 0.5) / max(1, n_other)), reverse=True)
+def content(starts: list[bytes], own: np.ndarray, other: np.ndarray, n_own: int, n_other: int) -> bytes:
+    """What marks a class: beginnings that are far more common in its documents (own) than in the other's, those
+    that cover most bytes of its documents last, where zstandard finds them nearest."""
+    marks = np.flatnonzero((own >= _least(n_own)) & (own / max(1, n_own) >= LIFT * (other + 0.5) / max(1, n_other)))
     out: list[bytes] = []
     size = 0
-    for _, g in found:
+    for _, g in sorted(((int(own[i]) * len(starts[i]), starts[i]) for i in marks), reverse=True):
         if size + len(g) <= OWN and not any(g in x for x in out):
             out.append(g)
             size += len(g)
@@ -130,25 +121,46 @@ def dictionaries(rows: list[tuple[int, int, str]]) -> list[tuple[bytes, bytes]]:
     Both hold what the trainer makes of the windows of ordinary documents. Before it stands what marks the class:
     the trainer itself would pick ordinary text there, of which toxic documents consist for the most part.
     """
-    bags: list[tuple[int, int, list[bytes], set[bytes]]] = []
-    for i, label, text in rows:
-        cut = windows(text)
-        bags.append((part_of(i), label, cut, {g for w in _words(cut) for g in _starts(w)}))
-    counts = {(f, c): Counter() for f in range(FOLDS) for c in (0, 1)}
-    for f, c, _, bag in bags:
-        counts[f, c].update(bag)
-    base, out = trained([w for _, label, cut, _ in bags if label == 0 for w in cut], BASE), []
+    starts, counts = _document_counts(rows)
+    n = np.zeros((FOLDS, 2), np.int64)
+    for i, label, _ in rows:
+        n[part_of(i), label] += 1
+    base, out = trained([w for _, label, text in [r for r in rows if r[1] == 0][:BASE_ROWS] for w in windows(text)], BASE), []
     for without in (*range(FOLDS), None):
-        used = [b for b in bags if b[0] != without]
-        n = {c: sum(b[1] == c for b in used) for c in (0, 1)}
-        total = {c: sum((counts[f, c] for f in range(FOLDS) if f != without), Counter()) for c in (0, 1)}
-        own = {c: content(total[c], total[1 - c], n[c], n[1 - c]) for c in (0, 1)}
-        size = max(map(len, own.values()))
-        both = [own[c].rjust(size, b"\0") + base or b"\0" * 8 for c in (1, 0)]
+        used = [f for f in range(FOLDS) if f != without]
+        total, size = counts[:, used].sum(axis=1), n[used].sum(axis=0)
+        own = [content(starts, total[:, c], total[:, 1 - c], int(size[c]), int(size[1 - c])) for c in (0, 1)]
+        longest = max(map(len, own))
+        both = [own[c].rjust(longest, b"\0") + base or b"\0" * 8 for c in (1, 0)]
         out.append((both[0], both[1]))
     return out
 
 
+def _document_counts(rows: list[tuple[int, int, str]]) -> tuple[list[bytes], np.ndarray]:
+    """Beginnings of 4 to 11 bytes of words (with the blank before them), and whole words with both blanks, and the
+    documents of each fold and class that have them; those that are too rare to mark a class are left out."""
+    ids: dict[bytes, int] = {}
+    docs = []
+    for i, label, text in rows:
+        found = {b" " + w.encode("utf-8", "surrogatepass") + b" " for w in _WORD.findall(text.lower())}
+        docs.append((part_of(i), label, np.fromiter((ids.setdefault(w, len(ids)) for w in found), np.int64, len(found))))
+    whole = list(ids)
+    short = np.array([w[:12] for w in whole] or [b""], "S12")
+    sizes = np.array([len(w) for w in whole] or [0])
+    starts: list[bytes] = []
+    counts = [np.zeros((0, FOLDS, 2), np.int64)]
+    for width in (*range(5, 13), None):
+        names, place = (whole, np.arange(len(whole))) if width is None else np.unique(short.astype(f"S{width}"), return_inverse=True)
+        cut = sizes > (0 if width is None else width)  # a word is not its own beginning
+        seen = np.zeros((len(names), FOLDS, 2), np.int64)
+        for part, label, words in docs:
+            seen[np.unique(place[words[cut[words]]]), part, label] += 1
+        kept = np.flatnonzero(seen.sum(axis=1).max(axis=1) >= _least(0)) if len(names) else []
+        starts += [bytes(names[i]) for i in kept]
+        counts.append(seen[kept])
+    return starts, np.concatenate(counts)
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Dictionaries and thresholds from labelled documents outside the held-out fold; of a document's repeated
     labels the largest counts.
