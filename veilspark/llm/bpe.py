@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .sampling import slices
 
-LEAF = 4  # bytes that are merged directly; longer ones are halved
+LEAF = 8  # bytes that are merged directly; longer ones are halved
 DIRECT = 48  # bytes of a window whose least pair is looked for anew at each step; longer ones keep a heap
 NONE = 1 << 62
 REMEMBERED = 1 << 18  # pieces, and as many pairs, that a worker keeps; more start the memory afresh
