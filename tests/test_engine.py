@@ -129,3 +129,40 @@ def test_nothing_of_a_note_leaks(spark):
     for gone in ("Kowalczyk", "John", "234-11-1001", "Tracy", "74104"):
         assert gone not in out
     assert out.startswith("Patient: ") and "\nSSN: " in out
+
+
+def test_surnames_that_are_medical_terms_go(spark):
+    names = ["John Crohn", "Mary Foley", "Anna Glasgow", "Emil Parkinson"]
+    n, s = marked(spark, [(f"Seen: {x} today.", [(x.split()[0], "FIRST_NAME"), (x.split()[1], "LAST_NAME")]) for x in names])
+    out = dict(texts(pipeline.deidentify(n, s)))
+    assert all(w not in out[i] for i, x in enumerate(names) for w in x.split())
+
+
+def test_notes_without_id_and_with_one_id_are_rewritten(spark):
+    rows = [(None, "SSN 234-11-1001 of John"), (7, "SSN 345-22-2002 of Mary"), (7, "ward, SSN 456-33-3003 of Susan"), (8, None)]
+    n = spark.createDataFrame(rows, "doc_id long, text string")
+    spans_ = [(i, t.index(p), t.index(p) + len(p), kind, p) for i, t in rows if t for p, kind in ((t[t.index("SSN") + 4 :][:11], "SSN"), (t.split()[-1], "FIRST_NAME"))]
+    out = [r["text"] for r in pipeline.deidentify(n, spark.createDataFrame(spans_, SPAN)).collect()]
+    whole = " ".join(t or "" for t in out)
+    assert len(out) == 4 and not any(x in whole for x in ("234-11", "345-22", "456-33", "John", "Mary", "Susan"))
+
+
+@pytest.mark.parametrize("text,want", [("Sept 5, 2024", "08/26/2024"), ("March 15th, 2024", "03/05/2024"), ("5th of nothing", None), ("11/13/25 5:54", "11/03/25 05:54"), ("2024-03-15T10:00:00Z", "2024-03-05T10:00:00Z"), ("Mar. 15 2024", "03/05/2024"), ("15 March, 2024", "03/05/2024")])
+def test_date_forms(spark, text, want):
+    (out,) = column(spark, [text], lambda c: dates.shift_datetime(c, F.lit(-10)))
+    assert out == want if want else out != text
+
+
+def test_no_offset_leaves_digits(spark):
+    assert column(spark, ["10", "77x"], lambda c: dates.disguise(c, F.lit(-100))) == ["65", "22x"]
+
+
+def test_batch_counts_by_type(spark):
+    n, s = marked(spark, [("SSN 234-11-1001 of John", [("234-11-1001", "SSN"), ("John", "FIRST_NAME")]), ("nothing", [])])
+    got = {r["doc_id"]: r["counts"] for r in pipeline.deidentify_batch(n, s).collect()}
+    assert got == {0: {"SSN": 1, "FIRST_NAME": 1}, 1: {}}
+
+
+def test_scan_of_texts_with_noncharacters(spark):
+    got = column(spark, ["a\ufdd01\ufdd1 22", None], lambda c: scan(c, r"\d+"))
+    assert [(m["start"], m["end"], m["text"]) for m in got[0]] == [(2, 3, "1"), (5, 7, "22")] and got[1] is None

@@ -1,4 +1,4 @@
-"""Regular expressions (Java syntax). Results depend on them character by character."""
+"""Regular expressions (Java syntax). What a pattern must match is fixed: results depend on it character by character."""
 
 from __future__ import annotations
 
@@ -6,20 +6,24 @@ from .vocab import CREDENTIALS, STATES
 
 U = "(?U)"
 MM, DD, YYYY = "(?:1[0-2]|0?[1-9])", "(?:3[01]|[12]\\d|0?[1-9])", "(?:19|20)\\d{2}"
-MON = "(?:January|February|March|April|May|June|July|August|September|October|November|December|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sept|Sep|Oct|Nov|Dec)"
+MONTH_NAMES = "January February March April May June July August September October November December".split()
+MONTH_SHORT = [m[:3] for m in MONTH_NAMES]
+MON = "(?:" + "|".join([*MONTH_NAMES, *[m for m in MONTH_SHORT[:8] if m != "May"], "Sept", *MONTH_SHORT[8:]]) + ")"
 EMAIL = U + r"\b[\w.+-]+@[\w-]+\.[\w.-]+\b"
 PHONE = r"(?<!\d)\(?[2-9]\d{2}\)?[\s.-]\d{3}[\s.-]\d{4}(?!\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
-STATE_ZIP = r"\b(?:" + "|".join(STATES) + r")\s{1,4}\d{5}(?:-\d{4})?(?![-\d])"
+STATE_ZIP = r"\b(?=[A-Z]{2}\s)(?:" + "|".join(STATES) + r")\s{1,4}\d{5}(?:-\d{4})?(?![-\d])"
 DATE = rf"(?<![\d/]){MM}[/-]{DD}[/-](?:{YYYY}|\d\d)(?![\d/])"
 ROOM = r"\bRM\d{2}\b"
 CLOCK = r"(?<![\d/:.,-])(?:[01]\d|2[0-3])[0-5]\d(?![\d/:.,-])"
 BP = r"\b(?i:bp)\:?\s{0,2}(?:[6-9][0-9]|1[0-9][0-9])/(?:[2-9][0-9]|1[0-9][0-9])\b"
-TITLE = r"\b(?:Dr|Mr|Mrs|Ms|Miss|Mx|Nurse|Doctor|Prof|Professor|RN|NP|PA)\.?[^\S\r\n]+[A-Z][a-zA-Z'\-]+(?:[^\S\r\n]+[A-Z][a-zA-Z'\-]+){0,2}"
-TITLE_NAMES = r"[A-Z][a-zA-Z'\-]+(?:[^\S\r\n]+[A-Z][a-zA-Z'\-]+){0,2}$"
-TITLE_HEAD = r"^(?:Dr|Mr|Mrs|Ms|Miss|Mx|Nurse|Doctor|Prof|Professor|RN|NP|PA)\.?[^\S\r\n]+"
-CREDENTIAL = r"\b[A-Z][a-zA-Z'\-]+(?:,?[^\S\r\n]+[A-Z][a-zA-Z'\-]+){0,2}[^\S\r\n]*,[^\S\r\n]*(?:" + "|".join(CREDENTIALS) + r")\b"
-CREDENTIAL_TAIL = r"[^\S\r\n]*,[^\S\r\n]*(?:" + "|".join(CREDENTIALS) + r")$"
+_BLANK = r"[^\S\r\n]"  # on the same line
+_NAMES = rf"[A-Z][a-zA-Z'\-]+(?:{_BLANK}+[A-Z][a-zA-Z'\-]+){{0,2}}"
+_TITLE = rf"(?:Dr|Mr|Mrs|Ms|Miss|Mx|Nurse|Doctor|Prof|Professor|RN|NP|PA)\.?{_BLANK}+"
+TITLE, TITLE_HEAD, TITLE_NAMES = rf"\b{_TITLE}{_NAMES}", f"^{_TITLE}", f"{_NAMES}$"
+_CREDENTIAL = rf"{_BLANK}*,{_BLANK}*(?:" + "|".join(CREDENTIALS) + ")"
+CREDENTIAL = rf"\b[A-Z][a-zA-Z'\-]+(?:,?{_BLANK}+[A-Z][a-zA-Z'\-]+){{0,2}}" + _CREDENTIAL + r"\b"
+CREDENTIAL_TAIL = _CREDENTIAL + "$"
 NAME_WORD = r"[A-Za-z'\-]+"
 GAZETTEER = r"\b[A-Z][a-z]{2,}\b"
 LOWER_WORD = r"\b[a-z]{2,}\b"

@@ -2,30 +2,56 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_OPEN, _CLOSE = "\ufdd0", "\ufdd1"
+
 
 def cut(text: Column, start: Column, end: Column) -> Column:
     """text[start:end] by code points, 0-based and half open."""
     return F.substring(text, start + 1, F.greatest(end - start, F.lit(0)))
 
 
-def scan(text: Column, pattern: str) -> Column:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _pieces(text: Column, pattern: str | Column) -> Column:
+    """What lies between matches of the pattern, and the matches, in turn: the pattern is looked for once, and the
+    text is cut at two characters that no text has (Unicode's noncharacters), or by two searches where one has."""
+    regex = pattern if isinstance(pattern, Column) else F.lit(pattern)
+    once = F.split(F.regexp_replace(text, regex, F.lit(f"{_OPEN}$0{_CLOSE}")), f"[{_OPEN}{_CLOSE}]", -1)
+    found, gaps = F.regexp_extract_all(text, regex, F.lit(0)), F.split(text, regex, -1)
+    twice = F.slice(F.flatten(F.transform(F.arrays_zip(gaps.alias("g"), found.alias("m")), lambda x: F.array(x["g"], x["m"]))), F.lit(1), 2 * F.size(found) + 1)
+    return F.when(text.rlike(f"[{_OPEN}{_CLOSE}]"), twice).otherwise(once)
+
+
+def scan(text: Column, pattern: str | Column) -> Column:
     """array<struct<start,end,text>> of all matches (which must not be empty), left to right: gaps and matches
     alternate, so a match starts after the gaps up to it and the matches before it."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    pairs = F.arrays_zip(F.slice(gaps, 1, F.greatest(F.size(found), F.lit(0))).alias("g"), found.alias("m"))
-    kind = "struct<at:int,out:array<struct<start:int,end:int,text:string>>>"
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out")).cast(kind)
+    kind = "array<struct<start:int,end:int,text:string>>"
+    state = f"struct<at:int,match:boolean,out:{kind}>"
+    zero = F.struct(F.lit(0).alias("at"), F.lit(False).alias("match"), F.array().cast(kind).alias("out")).cast(state)
 
     def step(acc: Column, p: Column) -> Column:
-        start = acc["at"] + F.length(p["g"])
-        end = start + F.length(p["m"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), p["m"].alias("text")))).alias("out")).cast(kind)
+        end = acc["at"] + F.length(p)
+        one = F.array(F.struct(acc["at"].alias("start"), end.alias("end"), p.alias("text"))).cast(kind)
+        return F.struct(end.alias("at"), (~acc["match"]).alias("match"), F.when(acc["match"], F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out")).cast(state)
+
+    def of(pieces: Column) -> Column:
+        folded = F.aggregate(pieces, zero, step, lambda acc: acc["out"])
+        return F.when(pieces.isNull(), F.lit(None).cast(kind)).when(F.size(pieces) == 1, F.array().cast(kind)).otherwise(folded)
+
+    return let(text, lambda t: let(_pieces(t, pattern), of))
+
 
-    return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
+def replaced(text: Column, pattern: str, new: Callable[[Column], Column]) -> Column:
+    """text with each match of the pattern as new(match)."""
+    return let(text, lambda t: F.when(t.rlike(pattern), F.array_join(F.transform(_pieces(t, pattern), lambda x, i: F.when(i % 2 == 1, new(x)).otherwise(x)), "")).otherwise(t))
 
 
 def titled(word: Column) -> Column:

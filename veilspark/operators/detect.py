@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import vocab as V
 from ..functions.text import scan
-from .filters import is_medical, uncovered
+from . import nested
+from .filters import uncovered
 
 SPAN = "array<struct<type:string,start:int,end:int>>"
 RECOGNIZERS = [("POSTCODE", P.STATE_ZIP), ("PHONE_NUMBER", P.PHONE), ("SSN", P.SSN), ("EMAIL", P.EMAIL), ("DATE", P.DATE)]
@@ -59,38 +60,19 @@ def recognize(notes: DataFrame) -> DataFrame:
     return notes.select("doc_id", F.explode(recognized(F.col("text"))).alias("s")).select("doc_id", "s.*")
 
 
-def _name_words(rows: DataFrame, score: float, type_: str) -> DataFrame:
-    """Words of names (doc_id, base, names) as spans; short and medical ones are none."""
-    words = rows.select("doc_id", "base", F.explode(scan(F.col("names"), P.NAME_WORD)).alias("m"))
-    out = words.select("doc_id", (F.col("base") + F.col("m.start")).alias("start"), (F.col("base") + F.col("m.end")).alias("end"), F.lit(type_).alias("type"), F.col("m.text").alias("text"), F.lit(score).alias("score"))
-    return out.filter((F.length("text") >= 2) & ~is_medical(F.col("text")))
-
-
 def by_title(notes: DataFrame, type_: str = "NAME") -> DataFrame:
     """Capitalised words after a title on the same line."""
-    rows = notes.select("doc_id", F.explode(scan(F.col("text"), P.TITLE)).alias("m"))
-    names = F.regexp_replace("m.text", P.TITLE_HEAD, "")
-    return _name_words(rows.select("doc_id", names.alias("names"), (F.col("m.end") - F.length(names)).alias("base")), 0.9, type_)
+    return nested.of_note(notes, lambda t: nested.by_title(t, type_), 0.9)
 
 
 def by_credential(notes: DataFrame, type_: str = "NAME") -> DataFrame:
     """Capitalised words before a comma and a credential."""
-    rows = notes.select("doc_id", F.explode(scan(F.col("text"), P.CREDENTIAL)).alias("m"))
-    return _name_words(rows.select("doc_id", F.regexp_replace("m.text", P.CREDENTIAL_TAIL, "").alias("names"), F.col("m.start").alias("base")), 0.9, type_)
+    return nested.of_note(notes, lambda t: nested.by_credential(t, type_), 0.9)
 
 
 def by_gazetteer(notes: DataFrame, names: list[str]) -> DataFrame:
     """Capitalised words of a name list that the note never has in small letters and that begin no sentence."""
-    text = F.col("text")
-    words = F.array_distinct(F.regexp_extract_all(text, F.lit(P.LOWER_WORD), F.lit(0)))
-    listed = F.array(*[F.lit(n.lower()) for n in sorted({n.lower() for n in names})])
-
-    def keep(m: Column) -> Column:
-        before = F.trim(F.translate(F.substring(text, F.greatest(m["start"] - 1, F.lit(1)), F.least(m["start"], F.lit(2))), "\n\t\r", "   "))
-        return F.array_contains(listed, F.lower(m["text"])) & ~F.array_contains(words, F.lower(m["text"])) & (before != "") & ~before.rlike(r"[.!?:;]$") & ~is_medical(m["text"])
-
-    rows = notes.select("doc_id", F.explode(F.filter(scan(text, P.GAZETTEER), keep)).alias("m"))
-    return rows.select("doc_id", "m.start", "m.end", F.lit("NAME").alias("type"), "m.text", F.lit(0.6).alias("score"))
+    return nested.of_note(notes, lambda t: nested.by_gazetteer(t, names), 0.6)
 
 
 def recall(notes: DataFrame, spans: DataFrame, gazetteer: list[str] | None = None) -> DataFrame:

@@ -2,64 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import patterns as P
-from ..functions import vocab as V
-from ..functions.text import scan
+from . import nested
+from .nested import is_medical, safe_ranges  # noqa: F401
 
 
-def is_medical(word: Column) -> Column:
-    return F.lower(F.trim(word)).isin(V.MEDICAL)
-
-
-def drop_medical(spans: DataFrame) -> DataFrame:
+def drop_medical(spans: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """Names that are medical words."""
-    return spans.filter(~(F.col("type").isin(V.NAMES) & is_medical(F.col("text"))))
+    return _kept(spans, lambda s: nested.without_medical(s, extra))
 
 
 def drop_medical_pairs(spans: DataFrame) -> DataFrame:
-    """Both of two neighbouring names (0 to 3 characters apart) that are a medical term together."""
-    order = Window.partitionBy("doc_id").orderBy("start", "end")
-    names = F.col("type").isin(V.NAMES)
-    nxt = F.lead(F.struct("start", "type", "text")).over(order)
-    gap = nxt["start"] - F.col("end")
-    pair = F.lower(F.concat(F.trim("text"), F.lit(" "), F.trim(nxt["text"])))
-    glued = F.lower(F.concat(F.trim("text"), F.trim(nxt["text"])))
-    hit = F.coalesce(names & nxt["type"].isin(V.NAMES) & gap.between(0, 3) & (pair.isin(V.MEDICAL_PAIRS) | glued.isin(V.MEDICAL)), F.lit(False))
-    marked = spans.withColumn("_hit", hit)
-    return marked.withColumn("_drop", F.col("_hit") | F.coalesce(F.lag("_hit").over(order), F.lit(False))).filter(~F.col("_drop")).drop("_hit", "_drop")
+    rows = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "type", "text")).cast(nested.SPANS).alias("_s"))
+    return rows.select("doc_id", F.explode(nested.without_medical_pairs(F.col("_s"))).alias("_x")).select("doc_id", "_x.*")
 
 
 def drop_time_words(spans: DataFrame) -> DataFrame:
-    return spans.filter(~(F.col("type").isin(V.DATES) & F.lower(F.trim("text")).isin(V.TIME_WORDS)))
-
-
-def safe_ranges(text: Column) -> Column:
-    """array<struct<start,end,strict>> of rooms and of clock times in the context of one: a line with a tab or
-    without letters, or 'at' just before. A clock time protects what lies strictly within it."""
-    kind = "array<struct<start:int,end:int,strict:boolean>>"
-    rooms = F.transform(scan(text, P.ROOM), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(False).alias("strict")))
+    return _kept(spans, nested.without_time_words)
 
-    def in_context(m: Column) -> Column:
-        line = F.concat(F.substring_index(F.substring(text, F.lit(1), m["start"]), "\n", -1), m["text"], F.substring_index(F.substring(text, m["end"] + 1, F.lit(1 << 30)), "\n", 1))
-        before = F.substring(text, F.greatest(m["start"] - 7, F.lit(1)), F.least(m["start"], F.lit(8)))
-        return line.contains("\t") | ~line.rlike(r"\p{L}") | before.rlike(r"(?i)\bat\s*$")
 
-    clocks = F.transform(F.filter(scan(text, P.CLOCK), in_context), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(True).alias("strict")))
-    return F.concat(rooms.cast(kind), clocks.cast(kind))
+def _kept(spans: DataFrame, make) -> DataFrame:
+    return spans.filter(F.size(make(F.array(F.struct("start", "end", "type", "text")).cast(nested.SPANS))) > 0)
 
 
 def veto_safe(spans: DataFrame, notes: DataFrame) -> DataFrame:
-    """Spans that lie in no room and strictly in no clock time. The join is on doc_id; safe ranges stay nested."""
-    safe = notes.select("doc_id", safe_ranges(F.col("text")).alias("_safe"))
-    rows = spans.join(safe, "doc_id", "left")
-    inside = F.exists("_safe", lambda r: (r["start"] <= F.col("start")) & (F.col("end") <= r["end"]) & (~r["strict"] | (r["start"] < F.col("start")) | (F.col("end") < r["end"])))
-    return rows.filter(~F.coalesce(inside, F.lit(False))).drop("_safe")
+    """Spans that lie in no room and strictly in no clock time; those of notes that are not there stay."""
+    safe = notes.select(F.col("doc_id").alias("_d"), safe_ranges(F.col("text")).alias("_safe"))
+    rows = spans.join(safe, F.col("doc_id").eqNullSafe(F.col("_d")), "left")
+    inside = nested.is_safe(F.struct("start", "end"), F.col("_safe"))
+    return rows.filter(~F.coalesce(inside, F.lit(False))).drop("_safe", "_d")
 
 
 def uncovered(new: DataFrame, old: DataFrame) -> DataFrame:
     """Spans of new that overlap none of old, within a document (an anti-join with the document as its key)."""
     o = old.select(F.col("doc_id").alias("_d"), F.col("start").alias("_s"), F.col("end").alias("_e"))
-    return new.join(o, (F.col("doc_id") == F.col("_d")) & (F.col("start") < F.col("_e")) & (F.col("_s") < F.col("end")), "left_anti")
+    return new.join(o, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("start") < F.col("_e")) & (F.col("_s") < F.col("end")), "left_anti")

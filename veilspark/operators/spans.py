@@ -1,49 +1,16 @@
-"""Passes that join, split, trim and repair spans (doc_id, start, end, type, text) against their notes (doc_id, text)."""
+"""Passes that join, split, trim and repair tables of spans (doc_id, start, end, type, text) against their notes
+(doc_id, text); each is a pass of nested.py over the spans of a note."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import patterns as P
-from ..functions import vocab as V
-from ..functions.text import cut, scan
-from .filters import is_medical
-
-WIDE = 1 << 30
-
-
-def _texts(spans: DataFrame, notes: DataFrame) -> DataFrame:
-    return spans.join(notes.select("doc_id", F.col("text").alias("_note")), "doc_id")
-
-
-def _context(spans: DataFrame, notes: DataFrame) -> DataFrame:
-    """spans with _before and _after, the note on either side."""
-    rows = _texts(spans, notes)
-    return rows.withColumn("_before", F.substring("_note", F.lit(1), F.col("start"))).withColumn("_after", F.substring("_note", F.col("end") + 1, F.lit(WIDE)))
-
-
-def _islands(rows: DataFrame, joins: Column, *keys: str) -> DataFrame:
-    """rows with _isle: a row that does not join the one before it (by start) opens a new one."""
-    order = Window.partitionBy("doc_id", *keys).orderBy("start", "end")
-    new = F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)
-    return rows.withColumn("_new", new).withColumn("_isle", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-
-
-def _merged(rows: DataFrame, type_: Column) -> DataFrame:
-    note = F.first("_note")
-    out = rows.groupBy("doc_id", "_isle").agg(F.min("start").alias("start"), F.max("end").alias("end"), type_.alias("type"), note.alias("_note"))
-    return out.select("doc_id", "start", "end", "type", cut(F.col("_note"), F.col("start"), F.col("end")).alias("text"))
+from . import nested
 
 
 def merge_same_type(spans: DataFrame, notes: DataFrame, max_gap: int = 2) -> DataFrame:
-    """Neighbours of one type at most max_gap characters of blank, / - . : or , apart become one."""
-    order = Window.partitionBy("doc_id").orderBy("start", "end")
-    rows = _texts(spans, notes)
-    last_end, last_type = F.lag("end").over(order), F.lag("type").over(order)
-    gap = F.col("start") - last_end
-    joins = (last_type == F.col("type")) & gap.between(0, max_gap) & cut(F.col("_note"), last_end, F.col("start")).rlike(r"^[ /\-.:,]*$")
-    return _merged(_islands(rows, joins), F.first("type"))
+    return nested.by_note(spans, notes, lambda s, note: nested.joined_same_type(s, note, max_gap))
 
 
 def dedupe_overlaps(spans: Column) -> Column:
@@ -68,141 +35,42 @@ def dedupe_overlaps(spans: Column) -> Column:
 
 
 def repair_fragments(spans: DataFrame, notes: DataFrame) -> DataFrame:
-    """Names that end inside a word take the whole word; medical words drop; equal ones become one (NAME if their
-    types differ)."""
-    rows = _context(spans, notes)
-    name = F.col("type").isin(V.NAMES)
-    left = F.when(name, F.length(F.regexp_extract("_before", "[A-Za-z]*$", 0))).otherwise(0)
-    right = F.when(name, F.length(F.regexp_extract("_after", "^[A-Za-z]*", 0))).otherwise(0)
-    rows = rows.withColumn("_l", left).withColumn("_r", right)
-    rows = rows.withColumn("start", F.col("start") - F.col("_l")).withColumn("end", F.col("end") + F.col("_r"))
-    rows = rows.withColumn("text", cut(F.col("_note"), F.col("start"), F.col("end")))
-    rows = rows.filter(~((F.col("_l") + F.col("_r") > 0) & is_medical(F.col("text"))))
-    same = rows.groupBy("doc_id", "start", "end", "text", F.when(name, "name").otherwise(F.col("type")).alias("_kind"))
-    out = same.agg(F.min("type").alias("a"), F.max("type").alias("b"))
-    return out.select("doc_id", "start", "end", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise("NAME").alias("type"), "text")
-
-
-def merge_dates(spans: Column, note: Column) -> Column:
-    """Array of spans with the parts of a date joined: a date takes the dates that follow at most one / or - away, and
-    times at most 3 characters away, if at least two came together and they read as month, day and year. Otherwise
-    its first part stays and the search goes on with the next one."""
-    kind = "array<struct<start:int,end:int,type:string,text:string>>"
-    state = f"struct<group:{kind},out:{kind}>"
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["type"].alias("type"), s["text"].alias("text")))).cast(kind)
-
-    def flushed(acc: Column) -> Column:
-        g = acc["group"]
-        start, end = g[0]["start"], F.array_max(F.transform(g, lambda s: s["end"]))
-        whole = cut(note, start, end)
-        one = F.struct(start.alias("start"), end.alias("end"), F.lit("DATE").alias("type"), whole.alias("text"))
-        return F.concat(acc["out"], F.when((F.size(g) >= 2) & whole.rlike(P.NUMERIC_DATE), F.array(one).cast(kind)).otherwise(g))
+    return nested.by_note(spans, notes, nested.whole_names)
 
-    def step(acc: Column, s: Column) -> Column:
-        g = acc["group"]
-        end = F.array_max(F.transform(g, lambda x: x["end"]))
-        gap = s["start"] - end
-        more = (F.size(g) > 0) & ((s["type"].isin(V.DATES) & gap.between(0, 1) & cut(note, end, s["start"]).rlike("^[/-]?$")) | ((s["type"] == "TIME") & gap.between(0, 3)))
-        grown = F.struct(F.concat(g, F.array(s)).alias("group"), acc["out"].alias("out")).cast(state)
-        opens = F.struct(F.array(s).alias("group"), flushed(acc).alias("out")).cast(state)
-        passes = F.struct(F.array().cast(kind).alias("group"), F.concat(flushed(acc), F.array(s)).alias("out")).cast(state)
-        return F.when(more, grown).when(s["type"].isin(V.DATES), opens).otherwise(passes)
 
-    zero = F.struct(F.array().cast(kind).alias("group"), F.array().cast(kind).alias("out")).cast(state)
-    return F.aggregate(ordered, zero, step, flushed)
+merge_dates = nested.joined_dates
 
 
 def trim_dates(spans: DataFrame) -> DataFrame:
-    """Dates without a digit drop; where exactly one date stands in the span, the span shrinks to it."""
-    date = F.col("type").isin(V.DATES)
-    found = F.when(date, scan(F.col("text"), P.DATE_TOKEN))
-    rows = spans.filter(~date | F.col("text").rlike(r"\d")).withColumn("_m", found)
-    one = F.coalesce(F.size("_m") == 1, F.lit(False)) & date
-    m = F.try_element_at("_m", F.lit(1))
-    return rows.select(
-        "doc_id",
-        F.when(one, F.col("start") + m["start"]).otherwise(F.col("start")).alias("start"),
-        F.when(one, F.col("start") + m["end"]).otherwise(F.col("end")).alias("end"),
-        "type",
-        F.when(one, m["text"]).otherwise(F.col("text")).alias("text"),
-    )
+    return _each(spans, nested.trimmed_dates)
 
 
 def combine_names(spans: DataFrame, notes: DataFrame) -> DataFrame:
-    """Names with only blanks, points, commas, hyphens, quotes and at most one initial between them (15 characters)
-    become one NAME; a span of another type between them keeps them apart."""
-    order = Window.partitionBy("doc_id").orderBy("start", "end")
-    rows = _texts(spans, notes)
-    last_end, last_type = F.lag("end").over(order), F.lag("type").over(order)
-    gap = F.col("start") - last_end
-    joins = F.col("type").isin(V.NAMES) & last_type.isin(V.NAMES) & gap.between(0, 15) & cut(F.col("_note"), last_end, F.col("start")).rlike(P.NAME_GAP)
-    return _merged(_islands(rows, joins), F.when(F.count("*") > 1, "NAME").otherwise(F.first("type")))
+    return nested.by_note(spans, notes, nested.combined_names)
 
 
 def split_names(spans: DataFrame) -> DataFrame:
-    """Names cut after a word's point and blank; each piece shrinks to its letters, empty ones vanish."""
-    pieces = F.when(F.col("type").isin(V.NAMES), F.split("text", r"(?<=[A-Za-z]{2}\.)\s+", -1)).otherwise(F.array("text"))
-    rows = spans.withColumn("_gaps", F.when(F.col("type").isin(V.NAMES), F.regexp_extract_all("text", F.lit(r"(?<=[A-Za-z]{2}\.)\s+"), F.lit(0))).otherwise(F.array().cast("array<string>"))).withColumn("_p", pieces)
-    base = lambda i: F.aggregate(F.slice("_p", F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(F.slice("_gaps", F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x))
-    name = F.col("type").isin(V.NAMES) & (F.size("_p") > 1)
-
-    def piece(x: Column, i: Column) -> Column:
-        head = F.when(name, F.length(F.regexp_extract(x, r"^[^\p{L}]*", 0))).otherwise(0)
-        core = F.when(name, F.regexp_replace(F.regexp_replace(x, r"^[^\p{L}]+", ""), r"[^\p{L}]+$", "")).otherwise(x)
-        return F.struct((base(i) + head).alias("at"), core.alias("text"))
-
-    found = F.filter(F.transform("_p", piece), lambda s: s["text"] != "")
-    rows = rows.withColumn("_s", F.when(F.size(found) > 0, found).otherwise(F.array(F.struct(F.lit(0).alias("at"), F.col("text").alias("text")))))
-    out = rows.select("doc_id", "start", "type", F.explode("_s").alias("s"))
-    return out.select("doc_id", (F.col("start") + F.col("s.at")).alias("start"), (F.col("start") + F.col("s.at") + F.length("s.text")).alias("end"), "type", "s.text")
+    return _each(spans, nested.split_names)
 
 
 def repair_identifiers(spans: DataFrame, notes: DataFrame) -> DataFrame:
-    """Identifiers without a digit drop; one that runs into a word gives up its last letters; one that is part of a
-    run of digits takes the whole run of up to 6, else drops, as does the tail of a ZIP+4; streets take whole words."""
-    rows = _context(spans, notes)
-    ident = F.col("type").isin(V.IDENTIFIERS)
-    rows = rows.filter(~ident | F.col("text").rlike(r"\d"))
-    back = F.when(ident & F.col("_after").rlike(r"^\p{L}") & F.col("text").rlike(r"\p{L}$"), F.length(F.regexp_extract("text", r"\p{L}+$", 0))).otherwise(0)
-    rows = rows.withColumn("end", F.col("end") - back).withColumn("text", cut(F.col("_note"), F.col("start"), F.col("end"))).withColumn("_after", F.substring("_note", F.col("end") + 1, F.lit(WIDE)))
-    street = F.col("type") == "STREET_ADDRESS"
-    word = r"[\p{L}\p{N}]"
-    left = F.when(street & F.col("text").rlike(f"^{word}"), F.length(F.regexp_extract("_before", f"{word}*$", 0)))
-    right = F.when(street & F.col("text").rlike(f"{word}$"), F.length(F.regexp_extract("_after", f"^{word}*", 0)))
-    digits = ident & F.col("text").rlike(r"^\d+$")
-    run_l, run_r = F.length(F.regexp_extract("_before", r"\d*$", 0)), F.length(F.regexp_extract("_after", r"^\d*", 0))
-    part, tail = digits & (run_l + run_r > 0), digits & F.regexp_replace("_before", r"\d*$", "").rlike(r"\d{5}-$")
-    rows = rows.filter(~(tail | (part & (run_l + run_r + F.length("text") > 6))))
-    rows = rows.withColumn("_l", F.coalesce(left, F.when(part, run_l), F.lit(0))).withColumn("_r", F.coalesce(right, F.when(part, run_r), F.lit(0)))
-    rows = rows.withColumn("start", F.col("start") - F.col("_l")).withColumn("end", F.col("end") + F.col("_r"))
-    return rows.select("doc_id", "start", "end", "type", cut(F.col("_note"), F.col("start"), F.col("end")).alias("text"))
+    return nested.by_note(spans, notes, nested.repaired_identifiers)
 
 
 def trim_identifiers(spans: DataFrame) -> DataFrame:
-    """Identifiers lose what is no letter or digit at their ends; empty ones drop."""
-    ident = F.col("type").isin(V.IDENTIFIERS)
-    head = F.when(ident, F.length(F.regexp_extract("text", r"^[^\p{L}\p{N}]*", 0))).otherwise(0)
-    core = F.when(ident, F.regexp_replace(F.regexp_replace("text", r"^[^\p{L}\p{N}]+", ""), r"[^\p{L}\p{N}]+$", "")).otherwise(F.col("text"))
-    rows = spans.withColumn("start", F.col("start") + head).withColumn("text", core).withColumn("end", F.col("start") + F.length("text"))
-    return rows.filter(F.length("text") > 0).select("doc_id", "start", "end", "type", "text")
+    return _each(spans, nested.trimmed_identifiers)
 
 
 def retype_births(spans: DataFrame, notes: DataFrame) -> DataFrame:
-    """A DATE with a mention of birth in the 50 characters before it is a DATE_OF_BIRTH."""
-    rows = _texts(spans, notes)
-    before = F.lower(F.substring("_note", F.greatest(F.col("start") - 49, F.lit(1)), F.least(F.col("start"), F.lit(50))))
-    birth = (F.col("type") == "DATE") & before.rlike("dob:|dob :|date of birth|birth date|birthdate")
-    return rows.withColumn("type", F.when(birth, "DATE_OF_BIRTH").otherwise(F.col("type"))).select("doc_id", "start", "end", "type", "text")
+    return nested.by_note(spans, notes, nested.retyped_births)
 
 
 def resolve_overlaps(spans: DataFrame) -> DataFrame:
-    """Of overlapping spans the longest stays, then the earliest, then the first type by name."""
-    kind = "array<struct<len:int,start:int,end:int,type:string,text:string>>"
-    item = F.struct((F.col("start") - F.col("end")).alias("len"), "start", "end", "type", "text")
-    rows = spans.groupBy("doc_id").agg(F.array_sort(F.collect_set(item)).alias("s"))
+    rows = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "type", "text")).cast(nested.SPANS).alias("_s"))
+    return rows.select("doc_id", F.explode(nested.without_overlaps(F.col("_s"))).alias("_x")).select("doc_id", "_x.*")
 
-    def step(acc: Column, s: Column) -> Column:
-        return F.when(F.exists(acc, lambda x: (x["start"] < s["end"]) & (s["start"] < x["end"])), acc).otherwise(F.concat(acc, F.array(s)))
 
-    kept = F.aggregate(F.col("s").cast(kind), F.array().cast(kind), step)
-    return rows.select("doc_id", F.explode(kept).alias("s")).select("doc_id", "s.start", "s.end", "s.type", "s.text")
+def _each(spans: DataFrame, make) -> DataFrame:
+    """A pass that looks at a span alone: nothing is grouped."""
+    one = F.array(F.struct("start", "end", "type", "text")).cast(nested.SPANS)
+    return spans.select("doc_id", F.explode(make(one)).alias("_x")).select("doc_id", "_x.*")

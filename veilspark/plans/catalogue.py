@@ -11,7 +11,6 @@ from ..functions import dates, draw, patterns, surrogates, text
 from ..functions import vocab as V
 from ..operators import chunks, detect, evaluate, filters, people, rewrite, spans, training
 from ..sources import notes as N
-from ..sources.staging import cut_plan
 from ..sources.tables import table
 from . import oracles, pipeline
 
@@ -282,7 +281,7 @@ def zip_backstop(spark, sf_dir):
 
 
 def _deidentified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pipeline.deidentify(N.notes(spark, sf_dir), N.gold(spark, sf_dir).select(*SPAN))
+    return pipeline.deidentify(N.notes_with_spans(spark, sf_dir))
 
 
 @query
@@ -293,8 +292,8 @@ def deid_full(spark, sf_dir):
 @query
 def surrogate_map(spark, sf_dir):
     gold = N.gold(spark, sf_dir)
-    names = cut_plan(people.unique_names(people.name_tokens(gold)))
-    out = cut_plan(rewrite.rewrite(N.notes(spark, sf_dir), cut_plan(rewrite.with_surrogates(gold.select(*SPAN), names))))
+    names = people.unique_names(people.name_tokens(gold))
+    out = rewrite.rewrite(N.notes(spark, sf_dir), rewrite.with_surrogates(gold.select(*SPAN), names))
     return rewrite.surrogate_map(out).select("doc_id", "original", "surrogate", "type", "collision")
 
 

@@ -172,7 +172,7 @@ from gold g join notes n on n.doc_id = g.doc_id""",
         "shift_dates": _made("DATE DATE_OF_BIRTH", shift),
         "shift_embedded": _made("DATE_OF_BIRTH", "'on ' || strftime(strptime(text, '%m/%d/%Y')::date + days, '%m/%d/%Y') || ' seen'"),
         "shift_datetimes": _made("DATE_OF_BIRTH", "strftime(strptime(text, '%m/%d/%Y')::date + days, '%m/%d/%Y') || ' 05:54'"),
-        "date_fallback": _made("MEDICAL_RECORD_NUMBER", "translate(text, '0123456789', substr('01234567890123456789', ((days % 10) + 10) % 10 + 1, 10)) || '-xx'"),
+        "date_fallback": _made("MEDICAL_RECORD_NUMBER", "translate(text, '0123456789', substr('01234567890123456789', case when days % 10 = 0 then 6 else ((days % 10) + 10) % 10 + 1 end, 10)) || '-xx'"),
         "age_cap": _made("AGE", "case when text::int >= 89 then '90+' else text end"),
         "preserve_case": _made("FIRST_NAME", "case when text = upper(text) then 'O''NEIL MC-DONALD' else 'O''Neil Mc-Donald' end"),
         "masked_display": _made("LAST_NAME", "substr(text, 1, 1) || repeat('*', length(text) - 1)"),

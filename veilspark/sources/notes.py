@@ -89,7 +89,9 @@ def notes_with_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _MADE:
-        _MADE[key] = cut_plan(with_segments(spark, sf_dir).select("doc_id", F.array_join("parts", "").alias("text"), _gold_array().alias("spans")))
+        parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        slim = with_segments(spark, sf_dir).repartition(parts, "doc_id")  # few bytes here, much work later
+        _MADE[key] = cut_plan(slim.select("doc_id", F.array_join("parts", "").alias("text"), _gold_array().alias("spans")))
     return _MADE[key]
 
 
