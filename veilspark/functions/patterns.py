@@ -42,3 +42,6 @@ ZIP_STATE = r"\b(?:" + "|".join(STATES) + r")\b\s+\d{5}(?![-\d])"
 ZIP_SHORT = r"(?<![A-Za-z\d-])\d{5}-\d{1,3}(?![-\d])"
 ZIP_GLUED = r"(?<=[A-Za-z])\d{4,5}-\d{4}(?![-\d])"
 STATE_WORD = r"\b(?:" + "|".join(STATES) + r")\b"
+# Providers in running text, for the leak check: by credential, after Dr and after Nurse; names may go over a line's end.
+_PERSON = r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,2}"
+PROVIDERS = [r"\b[A-Z][a-z]+(?:,?\s+[A-Z][a-z]+){0,2}\s*,\s*(?:RN|LPN|MD|DO|NP|DNP|APRN|PharmD|MSW|LCSW|DPM|CRNA|CNM|FNP)\b", rf"\bDr\.?\s+{_PERSON}", rf"\bNurse\s+{_PERSON}"]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, draw, patterns, surrogates, text
 from ..functions import vocab as V
-from ..operators import chunks, detect, evaluate, filters, people, rewrite, spans, training
+from ..operators import audit, chunks, detect, evaluate, filters, people, rewrite, spans, training
 from ..sources import notes as N
 from ..sources.tables import table
 from . import oracles, pipeline
@@ -353,7 +353,7 @@ def bilou_decode(spark, sf_dir):
 @query
 def class_weights(spark, sf_dir):
     tags = _tagged(spark, sf_dir).select(F.explode("t").alias("x")).select("x.label")
-    return evaluate.class_weights(tags, bilou_labels(spark, sf_dir)).select("label", "n")
+    return evaluate.class_weights(tags, bilou_labels(spark, sf_dir))
 
 
 @query
@@ -394,4 +394,152 @@ def top_tokens(spark, sf_dir):
     return words.groupBy("token").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "token").limit(40)
 
 
+@query
+def spans_to_bilou_tokens(spark, sf_dir):
+    return _tagged(spark, sf_dir).select("doc_id", F.explode("t").alias("x")).select("doc_id", F.col("x.s").alias("start"), F.col("x.e").alias("end"), "x.label")
+
+
+@query
+def training_records(spark, sf_dir):
+    rows = training.records(N.notes_with_spans(spark, sf_dir), 128)
+    count = lambda c, keep: F.size(F.filter(c, keep))
+    total = F.aggregate(F.filter("labels", lambda x: x >= 0), F.lit(0), lambda a, x: a + x)
+    return rows.select("uid", count("attention_mask", lambda x: x == 1).alias("n_tokens"), total.alias("label_sum"), F.size("input_ids").alias("width"))
+
+
+@query
+def note_token_count(spark, sf_dir):
+    return N.notes(spark, sf_dir).select("doc_id", text.token_count(F.col("text")).alias("n_tokens"))
+
+
+@query
+def shift_years(spark, sf_dir):
+    rows = N.gold(spark, sf_dir).filter((F.col("type") == "DATE") & (F.length("text") == 4))
+    return rows.select("doc_id", "text", dates.shift_date(F.col("text"), _days()).alias("out"))
+
+
+@query
+def leak_provider(spark, sf_dir):
+    """Of every other note the doctor's span is missing."""
+    gold = N.gold(spark, sf_dir)
+    known = gold.filter((F.col("doc_id") % 2 == 1) | ~F.col("text").isin(N.DOCTORS))
+    return audit.provider_leaks(N.notes(spark, sf_dir), known)
+
+
+LISTED = ["Kowalczyk", "Garcia", "Gap", "Maple", "Phone"]
+
+
+def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.by_gazetteer(N.notes(spark, sf_dir), LISTED).withColumn("corpus", (F.col("doc_id") % 3).cast("int"))
+
+
+@query
+def list_cost(spark, sf_dir):
+    known = N.gold(spark, sf_dir).filter((F.col("text") == "Garcia") & (F.col("doc_id") % 2 == 0))
+    return audit.list_cost(_listed(spark, sf_dir), known, ["gap"], "corpus")
+
+
+@query
+def neighbour_contexts(spark, sf_dir):
+    return audit.top_contexts(_listed(spark, sf_dir), N.notes(spark, sf_dir), 2)
+
+
+@query
+def entity_counts(spark, sf_dir):
+    return N.gold(spark, sf_dir).groupBy("type").agg(F.count("*").alias("n"))
+
+
+def _baited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gold spans, and spans in the clock time and over the room of each note."""
+    clock = _with(spark, sf_dir, "ARRIVE\t", "DATE", 9, 2)
+    return clock.unionByName(_with(spark, sf_dir, "Location: RM", "POSTCODE", 10, 4).filter(F.col("text").startswith("RM")))
+
+
+@query
+def veto_by_type(spark, sf_dir):
+    return audit.veto_by_type(_baited(spark, sf_dir), N.notes(spark, sf_dir))
+
+
+@query
+def veto_differences(spark, sf_dir):
+    """What the veto should take by hand (every room, and every clock part but in each fifth note) against what it takes."""
+    rows = _baited(spark, sf_dir)
+    taken = rows.exceptAll(filters.veto_safe(rows, N.notes(spark, sf_dir)).select(*rows.columns))
+    room = (F.col("type") == "POSTCODE") & F.col("text").startswith("RM")
+    expected = rows.filter(room | ((F.col("type") == "DATE") & (F.length("text") == 2) & (F.col("doc_id") % 5 != 0))).unionByName(rows.filter((F.col("type") == "AGE") & (F.col("doc_id") % 7 == 0)))
+    return audit.set_differences(expected, taken).select(*SPAN, "side")
+
+
+@query
+def first_with_gold(spark, sf_dir):
+    domain = F.element_at(F.array(*map(F.lit, ["Healthcare", "Finance", "Public Health Services"])), (F.col("doc_id") % 3 + 1).cast("int"))
+    some = F.when(F.col("doc_id") % 4 == 0, F.slice("spans", 1, 0)).otherwise(F.col("spans"))
+    rows = N.notes_with_spans(spark, sf_dir).select("doc_id", domain.alias("domain"), some.alias("spans"))
+    return audit.first_with_gold(audit.of_domain(rows, ["health", "medical"]), 100).select("doc_id", "domain", F.size("spans").alias("n_spans"))
+
+
+@query
+def first_misses(spark, sf_dir):
+    return audit.misses(N.gold(spark, sf_dir).select(*SPAN), detect.recognize(N.notes(spark, sf_dir)), 50)
+
+
+@query
+def best_epoch(spark, sf_dir):
+    """Each tenth of the labelled documents as the figures of one epoch."""
+    rows = table(spark, sf_dir, "labels").select((F.col("doc_id") % 10).alias("epoch"), (F.col("quality") == 1).alias("g"), ((F.col("toxic") == 1) | (F.col("doc_id") % 3 == 0)).alias("p"))
+    counts = rows.groupBy("epoch").agg(F.count_if(F.col("p") & F.col("g")).alias("tp"), F.count_if(F.col("p") | F.col("g")).alias("any"))
+    f1 = F.round(2 * F.col("tp") / (F.col("any") + F.col("tp")), 1)
+    return audit.best_epoch(counts.select("epoch", f1.alias("f1")))
+
+
+@query
+def masked_spans(spark, sf_dir):
+    log = N.gold(spark, sf_dir).select(F.col("doc_id").cast("string").alias("study_id"), "start", "end", "type")
+    texts = N.notes(spark, sf_dir).select(F.col("doc_id").cast("string").alias("study_id"), F.regexp_replace("text", r"\d", "#").alias("text"))
+    return audit.masked_spans(log, texts)
+
+
+@query
+def shared_words(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    nxt = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("next"))
+    return docs.join(nxt, "doc_id").select("doc_id", audit.shared_words(F.col("text"), F.col("next")).alias("shared"))
+
+
+@query
+def name_union(spark, sf_dir):
+    lists = [spark.createDataFrame([(w,) for w in x], "name string") for x in (N.FIRST, N.LAST, N.DOCTORS, [*N.FIRST, *N.LAST], LISTED)]
+    return audit.names_of(*lists)
+
+
+@query
+def repair_ids_branches(spark, sf_dir):
+    """Two digits of the house number, of the SSN's first part, of the MRN and of the ZIP+4's tail, and a letter."""
+    def part(word: str, skip: int, size: int, type_: str) -> DataFrame:
+        n = N.notes(spark, sf_dir)
+        start = (F.instr("text", word) - 1 + len(word) + skip).cast("int")
+        return n.withColumn("start", start).select("doc_id", "start", (F.col("start") + size).alias("end"), F.lit(type_).alias("type"), F.substring("text", F.col("start") + 1, F.lit(size)).alias("text"))
+
+    kind = "MEDICAL_RECORD_NUMBER"
+    rows = part("Addr: ", 0, 2, kind).unionByName(part("SSN: ", 1, 2, kind)).unionByName(part("MRN: ", 2, 3, kind)).unionByName(part("TULSA OK ", 0, 2, kind)).unionByName(part("Addr: ", 1, 4, "STREET_ADDRESS")).unionByName(part("Anion Gap ", 0, 1, kind))
+    return spans.repair_identifiers(rows, N.notes(spark, sf_dir))
+
+
+@query
+def merge_gaps(spark, sf_dir):
+    """Parts of dates of one type and of two, next to names: the gap of one character joins, that of four does not."""
+    rows = _halves(N.gold(spark, sf_dir)).filter((F.col("doc_id") % 2 == 0) | (F.length("text") != 2) | (F.col("type") == "AGE"))
+    return spans.merge_same_type(rows, N.notes(spark, sf_dir))
+
+
+@query
+def sweep_mentions(spark, sf_dir):
+    """The patient's names said again, in three cases, of which small letters stay."""
+    again = F.concat("text", F.lit("\n"), F.initcap("first"), F.lit(" "), F.upper("last"), F.lit(" and "), F.lower("last"))
+    gold = N.gold(spark, sf_dir)
+    who = people.patients(gold)
+    n = N.notes(spark, sf_dir).join(who, "doc_id").select("doc_id", again.alias("text"))
+    return people.sweep(n, gold.filter(F.col("type") == "FIRST_NAME"), who).select(*SPAN)
+
+
 SQL: dict[str, str] = {name: sql for name, sql in oracles.all_sql().items() if name in QUERIES}

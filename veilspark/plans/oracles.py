@@ -194,7 +194,7 @@ select type, count(*) as pred, sum(hit)::bigint as hit, round(sum(hit)::double /
         "bilou_labels": f"select 0 as label_id, 'O' as label, 'O' as tag, null::varchar as type union all select (1 + 4 * (i - 1) + (j - 1))::int, substr('BILU', j, 1) || '-' || [{L(V.ENTITY_TYPES)}][i], substr('BILU', j, 1), [{L(V.ENTITY_TYPES)}][i] from (select unnest(range(1, {len(V.ENTITY_TYPES) + 1}))::int as i), (select unnest(range(1, 5))::int as j)",
         "spans_to_bilou": bilou + " select label, count(*) as n from lab group by label",
         "bilou_decode": BASE + ' select doc_id, type, start, "end" from gold',
-        "class_weights": bilou + f", n as (select label, count(*) as n from lab group by label), a as (select 'O' as label union all select substr('BILU', j, 1) || '-' || t from (select unnest([{L(V.ENTITY_TYPES)}]) as t), (select unnest(range(1, 5))::int as j)) select a.label, coalesce(n.n, 0)::bigint as n from a left join n using (label)",
+        "class_weights": bilou + f", n as (select label, count(*) as n from lab group by label), t as (select sum(n) as total from n), a as (select 'O' as label union all select substr('BILU', j, 1) || '-' || t from (select unnest([{L(V.ENTITY_TYPES)}]) as t), (select unnest(range(1, 5))::int as j)) select a.label, coalesce(n.n, 0)::bigint as n, round(coalesce(least(total::double / (n.n * {len(V.ENTITY_TYPES) * 4 + 1})::double, 10.0), 1.0), 9) as weight from a left join n using (label), t",
         "token_metrics": """with r as (select quality = 1 as g, toxic = 1 or doc_id % 3 = 0 as p from labels),
 c as (select count(*) as n, count(*) filter (where g = p)::double as same, count(*) filter (where g)::double as e, count(*) filter (where p and g)::double as tp, count(*) filter (where p and not g)::double as fp, count(*) filter (where g and not p)::double as fn from r)
 select n as tokens, round(same / n, 6) as accuracy, round(tp / e, 6) as entity_accuracy, round(tp / (tp + fp), 6) as precision, round(tp / (tp + fn), 6) as recall, round(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)), 6) as f1 from c""",
@@ -203,11 +203,100 @@ select n as tokens, round(same / n, 6) as accuracy, round(tp / e, 6) as entity_a
         "distinct_labels": BASE + " select distinct type from gold",
         "top_tokens": "select token, count(*) as n from (select unnest(regexp_extract_all(text, '[a-z]{4,}')) as token from documents) group by token order by n desc, token limit 40",
     }
+    out |= _audit(gold, bilou)
+    makers = {"SSN": out["sur_ssn"], "MEDICAL_RECORD_NUMBER": out["sur_mrn"], "PHONE_NUMBER": out["sur_phone"], "EMAIL": out["sur_email"], "STREET_ADDRESS": out["sur_street"], "POSTCODE": out["sur_zip"], "DATE": out["shift_dates"], "DATE_OF_BIRTH": _dob(), "AGE": out["age_cap"]}
+    out |= _whole(makers, sex, new)
     out["dob_surrogate"] = _dob()
     out["sur_names_unique"] = _unique_names()
     return out
 
 
+def _audit(gold: str, bilou: str) -> dict[str, str]:
+    """SQL of the checks on detection and filters, and of further branches of the passes."""
+    baited = BASE + f""", clock as (select doc_id, strpos(text, 'ARRIVE' || chr(9))::int + 6 as pos, text from notes),
+bait as (select {SPAN} from gold
+  union all select doc_id, (pos + 2)::int, (pos + 4)::int, 'DATE', substr(text, pos + 3, 2) from clock
+  union all select doc_id, (strpos(text, 'Location: RM') + 9)::int, (strpos(text, 'Location: RM') + 13)::int, 'POSTCODE', substr(text, strpos(text, 'Location: RM') + 10, 4) from notes)"""
+    is_room = "(type = 'POSTCODE' and text like 'RM%')"
+    is_clock = "(type = 'DATE' and length(text) = 2)"
+    listed = BASE + """, found as (select doc_id, c, start, "end", text from gold where i = 4 and text in ('Kowalczyk', 'Garcia')
+  union all select doc_id, c, (strpos(text, 'Anion Gap') + 5)::int, (strpos(text, 'Anion Gap') + 8)::int, 'Gap' from notes
+  union all select doc_id, c, (strpos(text, 'Phone') - 1)::int, (strpos(text, 'Phone') + 4)::int, 'Phone' from notes)"""
+    ids = "select label_id, label from (select 0 as label_id, 'O' as label union all select (1 + 4 * (i - 1) + (j - 1))::int, substr('BILU', j, 1) || '-' || [{types}][i] from (select unnest(range(1, {n}))::int as i), (select unnest(range(1, 5))::int as j))".format(types=L(V.ENTITY_TYPES), n=len(V.ENTITY_TYPES) + 1)
+    part = lambda i, skip, size, type_: f"select doc_id, (start + {skip})::int as start, (start + {skip} + {size})::int as \"end\", '{type_}' as type, substr(text, 1 + {skip}, {size}) as text from gold where i = {i}"
+    whole = lambda i, type_: f"select doc_id, start, (start + length(regexp_extract(text, '^[0-9]+')))::int as \"end\", '{type_}' as type, regexp_extract(text, '^[0-9]+') as text from gold where i = {i}"
+    return {
+        "spans_to_bilou_tokens": bilou + ' select doc_id, s as start, e as "end", label from lab',
+        "training_records": bilou + f", ids as ({ids}) select doc_id as uid, count(*)::int as n_tokens, sum(label_id)::int as label_sum, 128 as width from lab join ids using (label) group by doc_id",
+        "note_token_count": BASE + " select doc_id, len(regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9\\s]'))::int as n_tokens from notes",
+        "shift_years": _made("DATE", "strftime(make_date(case when length(text) = 4 then text::int else 2000 end, 7, 1) + days, '%Y')") + " where length(text) = 4",
+        "leak_provider": BASE + """ select doc_id, start, "end", text as token from gold where i = 24 and doc_id % 2 = 0
+union all select doc_id, (strpos(text, 'Appendectomy') - 1)::int, (strpos(text, 'Appendectomy') + 11)::int, 'Appendectomy' from notes""",
+        "list_cost": listed + """, a as (select (doc_id % 3)::int as corpus, text = 'Gap' as term from found where not (text = 'Garcia' and doc_id % 2 = 0))
+select corpus, count(*) as added, count(*) filter (where term) as terms, count(*) filter (where not term) as names, round(count(*) filter (where term) / count(*)::double, 6) as term_share from a group by corpus""",
+        "neighbour_contexts": listed + """, w as (select f.text, regexp_extract_all(substr(n.text, greatest(f.start - 18, 0) + 1, least(f.start, 18)), '[A-Za-z]+') as l, regexp_extract_all(substr(n.text, f."end" + 1, 18), '[A-Za-z]+') as r from found f join notes n using (doc_id)),
+c as (select substr(text, 1, 1) || repeat('*', length(text) - 1) as token, coalesce(l[-1], '^') || ' _ ' || coalesce(r[1], '$') as context, count(*) as n from w group by all)
+select * from (select *, row_number() over (partition by token order by n desc, context)::int as rank from c) where rank <= 2""",
+        "entity_counts": BASE + " select type, count(*) as n from gold group by type",
+        "veto_by_type": baited + f"""select type, count(*) as gold, count(*) filter (where {is_room} or {is_clock} or (type = 'DATE' and regexp_matches(text, '^([01][0-9]|2[0-3])[0-5][0-9]$')))::bigint as overlap,
+  count(*) filter (where {is_room} or {is_clock}) as vetoed from bait group by type""",
+        "veto_differences": baited + f"""select {SPAN}, 'missing' as side from bait where type = 'AGE' and doc_id % 7 = 0 union all select {SPAN}, 'unexpected' from bait where {is_clock} and doc_id % 5 = 0""",
+        "first_with_gold": BASE + ", g as (select doc_id, ['Healthcare', 'Finance', 'Public Health Services'][(doc_id % 3)::int + 1] as domain, count(*)::int as n_spans from gold where doc_id % 4 <> 0 group by all) select doc_id, domain, n_spans from g where domain ilike '%health%' order by doc_id limit 100",
+        "first_misses": BASE + f" select {SPAN} from gold where not (type in ('POSTCODE', 'PHONE_NUMBER', 'SSN', 'EMAIL', 'DATE_OF_BIRTH') or (type = 'DATE' and length(text) = 10)) order by doc_id, start limit 50",
+        "best_epoch": """with r as (select doc_id % 10 as epoch, quality = 1 as g, toxic = 1 or doc_id % 3 = 0 as p from labels),
+f as (select epoch, round(2 * (count(*) filter (where p and g)) / ((count(*) filter (where p or g)) + (count(*) filter (where p and g)))::double, 1) as f1 from r group by epoch)
+select epoch, f1 from f order by f1 desc, epoch limit 1""",
+        "masked_spans": BASE + """ select doc_id::varchar as study_id, start, "end", type, regexp_replace(text, '[0-9]', '#', 'g') as masked from gold""",
+        "shared_words": """with w as (select doc_id, regexp_extract_all(lower(text), '[a-z]{4,}') as w from documents) select a.doc_id, list_has_any(a.w, b.w) as shared from w a join w b on b.doc_id = a.doc_id + 1""",
+        "name_union": f"select distinct lower(unnest([{L([*N.FIRST, *N.LAST, *N.DOCTORS, 'Kowalczyk', 'Garcia', 'Gap', 'Maple', 'Phone'])}])) as name",
+        "repair_ids_branches": BASE + f""" {whole(12, 'MEDICAL_RECORD_NUMBER')} union all {whole(20, 'MEDICAL_RECORD_NUMBER')}
+union all select * from ({part(14, 0, 5, 'MEDICAL_RECORD_NUMBER')}) union all select doc_id, start, (start + length(regexp_extract(text, '^[0-9]+ MAPLE')))::int, 'STREET_ADDRESS', regexp_extract(text, '^[0-9]+ MAPLE') from gold where i = 12
+union all select doc_id, (strpos(text, 'Gap 12') + 3)::int, (strpos(text, 'Gap 12') + 5)::int, 'MEDICAL_RECORD_NUMBER', '12' from notes""",
+        "merge_gaps": BASE + f""" select {SPAN} from gold where length(text) <> 10 or type not in ('DATE', 'DATE_OF_BIRTH') or doc_id % 2 = 0
+union all select doc_id, (start + 3)::int, "end", type, substr(text, 4) from gold where length(text) = 10 and type in ('DATE', 'DATE_OF_BIRTH') and doc_id % 2 = 1""",
+        "sweep_mentions": BASE + f""", q as (select n.doc_id, length(n.text) + 1 as pos, a.text as f, b.text as l from notes n join gold a on a.doc_id = n.doc_id and a.i = 2 join gold b on b.doc_id = n.doc_id and b.i = 4)
+select {SPAN} from gold where i in (2, 4)
+union all select doc_id, pos::int, (pos + length(f))::int, 'FIRST_NAME', upper(substr(f, 1, 1)) || lower(substr(f, 2)) from q
+union all select doc_id, (pos + length(f) + 1)::int, (pos + length(f) + 1 + length(l))::int, 'LAST_NAME', upper(l) from q""",
+    }
+
+
+def _whole(makers: dict[str, str], sex: str, new) -> dict[str, str]:
+    """SQL of the whole de-identification, of the map back, and of the ZIP sweep over notes whose spans are in clear."""
+    expr = {t: q[q.rindex("select doc_id, text, ") + len("select doc_id, text, ") : q.rindex(" as out from z")] for t, q in makers.items()}
+    cases = " ".join(f"when '{t}' then {x}" for t, x in expr.items())
+    person = BASE + f""", typed as (
+  select g.doc_id, i, start, "end", g.text, case when g.type = 'DATE' and regexp_matches(lower(substr(n.text, greatest(g.start - 49, 1), least(g.start, 50))), 'dob:|dob :|date of birth|birth date|birthdate') then 'DATE_OF_BIRTH' else g.type end as type
+  from gold g join notes n on n.doc_id = g.doc_id),
+q as (select n.doc_id, {sex.replace('lower(text)', 'lower(n.text)')} as sex, lower(a.text) as first, lower(b.text) as last, lower(e.text) as doctor, 'person|' || lower(a.text) || '|' || lower(b.text) as pk
+  from notes n join gold a on a.doc_id = n.doc_id and a.i = 2 join gold b on b.doc_id = n.doc_id and b.i = 4 join gold e on e.doc_id = n.doc_id and e.i = 24),
+r as (select *, case sex when 'M' then {new(V.MALE_POOL, 'first', 'f')} when 'F' then {new(V.FEMALE_POOL, 'first', 'f')} else {new(V.FIRST_POOL, 'first', 'f')} end as new_first, {new(V.LAST_POOL, 'last', 'l')} as new_last from q),
+f as (select *, list_filter([{L(V.LAST_POOL)}], lambda w: not list_contains([first, last, doctor, lower(new_first), lower(new_last)], lower(w))) as free from r)"""
+    made = lambda src: f"""z as (select t.doc_id, i, start, text, type, '0|' || t.doc_id || '|' || type || '|' || lower(trim(text)) as k, '0|' || t.doc_id || '|place' as d, days from {src} t join days using (doc_id) where i not in (2, 4, 24)),
+s as (select doc_id, i, type, text, case type {cases} end as out from z)"""
+    like = lambda out: f"case when text = upper(text) then upper({out}) else {out} end"
+    unique = f"""t as (select distinct doc_id, case type when 'FIRST_NAME' then 'first' else 'last' end as kind, lower(text) as token from gold where type in ('FIRST_NAME', 'LAST_NAME')),
+u as (select doc_id, list(token) as reserved from t group by doc_id),
+v as (select t.*, list_filter(case kind when 'first' then [{L(V.FIRST_POOL)}] else [{L(V.LAST_POOL)}] end, lambda w: not list_contains(reserved, lower(w))) as free, row_number() over (partition by t.doc_id, kind order by md5('0|' || token), token) - 1 as k from t join u on u.doc_id = t.doc_id),
+nm as (select doc_id, kind, token, free[(({h("'0|' || doc_id || '|' || kind")} % len(free) + k) % len(free) + 1)::int] as surrogate from v)"""
+    code = "p[14]"
+    area = f"{pick('d', [x[2] for x in V.PLACES])}"
+    swept = f"{area} || {chars('k || ' + chr(39) + '|z' + chr(39), '2')} || case when length({code}) > 5 then '-' || {chars('k || ' + chr(39) + '|p' + chr(39), '4')} else '' end"
+    return {
+        "deid_full": person + ", " + made("typed") + f""",
+segs as (select doc_id, i, [{_LABELS}][i] as label, p[i] as x from (select *, unnest(range(1, {len(_PARTS) + 1})) as i from parts) where [{_LABELS}][i] = 'O'
+  union all select doc_id, i, type, out from s
+  union all select doc_id, 2, 'NAME', new_first from f union all select doc_id, 4, 'O', new_last from f
+  union all select doc_id, 24, 'LAST_NAME', free[({h("'0|' || doc_id || '|last'")} % len(free) + 1)::int] from f)
+select doc_id, string_agg(x, '' order by i) as text, count(*) filter (where label <> 'O')::int as n_spans from segs group by doc_id""",
+        "surrogate_map": BASE + ", " + made("gold") + f""", {unique},
+a as (select doc_id, i, type, text, out from s union all select g.doc_id, i, type, text, {like('surrogate')} from gold g join nm on nm.doc_id = g.doc_id and nm.token = lower(g.text) and nm.kind = case type when 'FIRST_NAME' then 'first' else 'last' end where i in (2, 4, 24))
+select doc_id, arg_max(text, i) as original, arg_max(out, i) as surrogate, type, list_has_any(regexp_extract_all(lower(arg_max(out, i)), '[a-z]+'), [{L(V.MEDICAL)}]) as collision from a where text <> out group by doc_id, type, lower(text), lower(out)""",
+        "zip_backstop": BASE + f""", x as (select doc_id, p, '0|' || doc_id || '|place' as d, '0|' || doc_id || '|place|' || {code} as k from parts)
+select doc_id, array_to_string(p[1:13], '') || {swept} || array_to_string(p[15:], '') as text from x""",
+    }
+
+
 def _dob() -> str:
     d = "strptime(text, '%m/%d/%Y')::date"
     q = lambda s: f"k || '|{s}'"
