@@ -98,16 +98,16 @@ def fit(docs: DataFrame, ridge: float = 1e-3, rows: int = SAMPLE_ROWS, each: int
     codes = codewords(len(langs))
     if len(langs) < 2:
         return Model(langs, codes, np.zeros((DIMS, codes.shape[1]), np.float32), np.ones(codes.shape[1], np.float32), 2.0)
-    x = np.array([np.frombuffer(r["x"], np.float32) for r in got], np.float64)
+    x = np.array([np.frombuffer(r["x"], np.float32) for r in got])
     y = codes[[langs.index(r["lang"]) for r in got]]
     count = np.array([sum(r["lang"] == g for r in got) for g in langs])
     w = np.array([1.0 / count[langs.index(r["lang"])] for r in got])
     w /= w.mean()
-    mean, bias = (w[:, None] * x).sum(0) / w.sum(), (w[:, None] * y).sum(0) / w.sum()
-    xc = (x - mean) * np.sqrt(w)[:, None]
-    gram = xc @ xc.T
+    mean, bias = w.astype(np.float32) @ x / np.float32(w.sum()), (w[:, None] * y).sum(0) / w.sum()
+    xc = ((x - mean) * np.sqrt(w)[:, None]).astype(np.float32)
+    gram = (xc @ xc.T).astype(np.float64)
     gram[np.diag_indices_from(gram)] += ridge * len(x)
-    weights = xc.T @ np.linalg.solve(gram, (y - bias) * np.sqrt(w)[:, None])
+    weights = xc.T @ np.linalg.solve(gram, (y - bias) * np.sqrt(w)[:, None]).astype(np.float32)
     return Model(langs, codes, weights.astype(np.float32), (bias - mean @ weights).astype(np.float32), 2.0)
 
 

@@ -108,11 +108,16 @@ def _repeated(docs: DataFrame) -> DataFrame:
     found = joined(wide, held, "w").select("c", "k", later.cast("int").alias("later"), F.when(later, F.col("least")).otherwise(F.col("most")).alias("other"))
     # Passages of one minimiser begin at most 30 words apart, so they overlap and are one span.
     found = found.groupBy("c", "later").agg(F.min("k").alias("k"), F.max("k").alias("k_last"), F.min("other").alias("other"))
+    marks = found.groupBy("c").agg(F.collect_list(F.struct("k", "k_last", "other", "later")).alias("marks"))
+    contexts = once.select("c", "first", "last", "n").join(marks, "c", "left").filter("marks is not null or last > first").drop("last")
     members = sets.select("c", "doc", "same", F.col("start").cast("long").alias("start"), F.size("passages").alias("size"))
-    members = joined(members, once.select("c", "first", "n"), "c")
-    own = members.filter("doc = first").join(found, "c").select("doc", "same", (F.col("start") + F.col("k")).alias("start"), (F.col("start") + F.col("k_last") + PASSAGE).alias("stop"), "other", "later")
-    rest = members.filter("doc > first").select("doc", "same", "start", (F.col("start") + F.col("size") - 1 + PASSAGE).alias("stop"), F.col("first").alias("other"), F.lit(1).alias("later"))
-    return _joined(own.unionByName(rest))
+    members = joined(members, written(contexts, "contexts"), "c")
+    span = lambda start, stop, other, late: F.struct(start.alias("start"), stop.alias("stop"), other.alias("other"), late.alias("later"))
+    start = F.col("start")
+    own = F.transform("marks", lambda m: span(start + m["k"], start + m["k_last"] + PASSAGE, m["other"], m["later"]))
+    rest = F.array(span(start, start + F.col("size") - 1 + PASSAGE, F.col("first"), F.lit(1)))
+    spans = members.select("doc", "same", F.explode(F.when(F.col("doc") == F.col("first"), own).otherwise(rest)).alias("s"))
+    return _joined(spans.select("doc", "same", "s.*"))
 
 
 def _joined(spans: DataFrame) -> DataFrame:
