@@ -10,8 +10,8 @@ os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, (ROOT, os.environ.get("P
 
 
 @pytest.fixture(scope="session")
-def spark():
-    s = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.driver.memory", "3g").config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+def spark(tmp_path_factory):
+    s = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared"))).config("spark.ui.enabled", "false").config("spark.driver.memory", "3g").config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()

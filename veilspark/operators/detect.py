@@ -2,25 +2,55 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import vocab as V
 from ..functions.text import scan
-from . import nested
+from . import chunks, nested
 from .filters import uncovered
+from .spans import dedupe_overlaps
 
 SPAN = "array<struct<type:string,start:int,end:int>>"
 RECOGNIZERS = [("POSTCODE", P.STATE_ZIP), ("PHONE_NUMBER", P.PHONE), ("SSN", P.SSN), ("EMAIL", P.EMAIL), ("DATE", P.DATE)]
 
 
-class Detector(Protocol):
-    """Anything that finds spans: notes (doc_id, text) to spans (doc_id, start, end, type, text, score)."""
+Found = tuple[int, int, str, float]  # start, end, type, score
+
 
-    def __call__(self, notes: DataFrame) -> DataFrame: ...
+class Detector(Protocol):
+    """A model: made once in each Python worker, it finds spans in a list of texts, a list of Found for each."""
+
+    def __call__(self, texts: list[str]) -> list[list[Found]]: ...
+
+
+def by_detector(notes: DataFrame, make: Callable[[], Detector], limit: int = chunks.LIMIT, size: int = chunks.SIZE, overlap: int = chunks.OVERLAP, batch: int = 64) -> DataFrame:
+    """doc_id, start, end, type, text of what a model finds in notes (doc_id, text), which it reads in overlapping
+    chunks of bounded size: detected in Arrow batches, lifted to the note's offsets, and of overlapping finds of two
+    chunks one each. One shuffle, of spans alone, by note."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = make()
+        for p in parts:
+            for at in range(0, max(p.num_rows, 1), batch):
+                some = p.slice(at, batch)
+                docs, starts, texts = (some.column(c).to_pylist() for c in ("doc_id", "start_char", "text"))
+                rows = [(d, s + a, s + b, kind, t[a:b]) for d, s, t, found in zip(docs, starts, texts, model(texts)) for a, b, kind, _ in found]
+                columns = list(zip(*rows)) if rows else [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (some.schema.field("doc_id").type, pa.int32(), pa.int32(), pa.string(), pa.string()))], ["doc_id", "start", "end", "type", "text"])
+
+    key = notes.schema["doc_id"].dataType.simpleString()
+    parts = chunks.chunk(notes.filter("text is not null"), limit, size, overlap).select("doc_id", "start_char", "text")
+    found = parts.mapInArrow(run, f"doc_id {key}, start int, end int, type string, text string")
+    rows = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "type", "text")).alias("_s"))
+    kept = dedupe_overlaps(F.col("_s"))
+    texts = lambda x: F.try_element_at(F.filter("_s", lambda s: (s["start"] == x["start"]) & (s["end"] == x["end"])), F.lit(1))["text"]
+    return rows.select("doc_id", F.explode(F.transform(kept, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["type"].alias("type"), texts(x).alias("text")))).alias("_x")).select("doc_id", "_x.*")
 
 
 def find(notes: DataFrame, pattern: str, type_: str, score: float = 1.0) -> DataFrame:

@@ -118,6 +118,7 @@ lab as (select *, case when type is null then 'O' else (case when first and last
         "scan_email": BASE + " " + scan(EMAIL),
         "scan_phone": BASE + " " + scan(PHONE),
         "scan_ssn": BASE + " " + scan(SSN),
+        "detector_plugin": BASE + f" select {SPAN} from gold where type = 'SSN'",
         "scan_zip": BASE + " " + scan(ZIP),
         "scan_date": BASE + " " + scan(DATE),
         "scan_room": BASE + " " + scan(r"RM\d{2}"),

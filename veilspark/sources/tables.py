@@ -53,5 +53,20 @@ def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+RECORD_END = "\u001e"  # notes have lines of their own, so a corpus file ends each with the record separator
+
+
 def write_texts(df: DataFrame, path: str, text: str = "text") -> None:
-    df.select(text).write.mode("overwrite").text(path, lineSep="\u0000")
+    """A corpus file: the texts one after the other, each ended by RECORD_END."""
+    df.select(text).write.mode("overwrite").text(path, lineSep=RECORD_END)
+
+
+def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    """What write_texts wrote, as text."""
+    return spark.read.text(path, lineSep=RECORD_END).withColumnRenamed("value", "text")
+
+
+def write_checkpoint(metrics: DataFrame, weights: DataFrame, path: str) -> None:
+    """The best epoch's figures and the class weights that it was trained with, side by side."""
+    metrics.write.mode("overwrite").parquet(f"{path}/metrics")
+    weights.write.mode("overwrite").parquet(f"{path}/weights")
