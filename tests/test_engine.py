@@ -166,3 +166,9 @@ def test_batch_counts_by_type(spark):
 def test_scan_of_texts_with_noncharacters(spark):
     got = column(spark, ["a\ufdd01\ufdd1 22", None], lambda c: scan(c, r"\d+"))
     assert [(m["start"], m["end"], m["text"]) for m in got[0]] == [(2, 3, "1"), (5, 7, "22")] and got[1] is None
+
+
+def test_scan_of_very_many_matches(spark):
+    text = " ".join(f"x{i}" for i in range(3000))
+    (got,) = column(spark, [text], lambda c: scan(c, r"\d+"))
+    assert [m["text"] for m in got] == [str(i) for i in range(3000)] and all(text[m["start"] : m["end"]] == m["text"] for m in got)

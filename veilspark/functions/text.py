@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _OPEN, _CLOSE = "\ufdd0", "\ufdd1"
+_FOLD = 128  # an even number, so that each part begins with a gap
 
 
 def cut(text: Column, start: Column, end: Column) -> Column:
@@ -35,16 +36,27 @@ def scan(text: Column, pattern: str | Column) -> Column:
     alternate, so a match starts after the gaps up to it and the matches before it."""
     kind = "array<struct<start:int,end:int,text:string>>"
     state = f"struct<at:int,match:boolean,out:{kind}>"
-    zero = F.struct(F.lit(0).alias("at"), F.lit(False).alias("match"), F.array().cast(kind).alias("out")).cast(state)
 
     def step(acc: Column, p: Column) -> Column:
         end = acc["at"] + F.length(p)
         one = F.array(F.struct(acc["at"].alias("start"), end.alias("end"), p.alias("text"))).cast(kind)
         return F.struct(end.alias("at"), (~acc["match"]).alias("match"), F.when(acc["match"], F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out")).cast(state)
 
+    def from_(start: Column, pieces: Column) -> Column:
+        zero = F.struct(start.alias("at"), F.lit(False).alias("match"), F.array().cast(kind).alias("out")).cast(state)
+        return F.aggregate(pieces, zero, step, lambda acc: acc["out"])
+
+    def many(pieces: Column) -> Column:
+        """Some pieces at a time, from the length of all before: a fold's array is copied each time that it grows."""
+        part = lambda i: F.slice(pieces, i * _FOLD + 1, F.lit(_FOLD))
+        size = lambda i: F.aggregate(part(i), F.lit(0), lambda n, p: n + F.length(p))
+        numbers = F.sequence(F.lit(0), ((F.size(pieces) - 1) / _FOLD).cast("int"))
+        starts = F.aggregate(F.transform(numbers, size), F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+        return let(starts, lambda at: F.flatten(F.transform(numbers, lambda i: from_(F.get(at, i), part(i)))))
+
     def of(pieces: Column) -> Column:
-        folded = F.aggregate(pieces, zero, step, lambda acc: acc["out"])
-        return F.when(pieces.isNull(), F.lit(None).cast(kind)).when(F.size(pieces) == 1, F.array().cast(kind)).otherwise(folded)
+        few = F.when(F.size(pieces) == 1, F.array().cast(kind)).when(F.size(pieces) <= 2 * _FOLD, from_(F.lit(0), pieces))
+        return F.when(pieces.isNull(), F.lit(None).cast(kind)).otherwise(few.otherwise(many(pieces)))
 
     return let(text, lambda t: let(_pieces(t, pattern), of))
 
