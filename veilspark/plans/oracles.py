@@ -72,6 +72,7 @@ def scan(pattern: str, of: str = "notes", skip: int = 0, drop: int = 0) -> str:
 
 
 EMAIL, PHONE, SSN, DATE = r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z]+", r"\(?[2-9]\d{2}\)?[\s.-]\d{3}[\s.-]\d{4}", r"\d{3}-\d{2}-\d{4}", r"\d{2}/\d{2}/\d{4}"
+SENTENCE = r"[.!?]\s+[A-Z]|\n\s*\n"
 ZIP = r"OK \d{5}(?:-\d{4})?"
 CLOCK = r"\t(?:[01]\d|2[0-3])[0-5]\d\n"
 
@@ -205,6 +206,7 @@ select n as tokens, round(same / n, 6) as accuracy, round(tp / e, 6) as entity_a
         "top_tokens": "select token, count(*) as n from (select unnest(regexp_extract_all(text, '[a-z]{4,}')) as token from documents) group by token order by n desc, token limit 40",
     }
     out |= _audit(gold, bilou)
+    out["sentence_boundary"] = _boundary(250, 200)
     makers = {"SSN": out["sur_ssn"], "MEDICAL_RECORD_NUMBER": out["sur_mrn"], "PHONE_NUMBER": out["sur_phone"], "EMAIL": out["sur_email"], "STREET_ADDRESS": out["sur_street"], "POSTCODE": out["sur_zip"], "DATE": out["shift_dates"], "DATE_OF_BIRTH": _dob(), "AGE": out["age_cap"]}
     out |= _whole(makers, sex, new)
     out["dob_surrogate"] = _dob()
@@ -298,6 +300,16 @@ select doc_id, array_to_string(p[1:13], '') || {swept} || array_to_string(p[15:]
     }
 
 
+def _boundary(target: int, reach: int) -> str:
+    """The pattern takes the capital that follows a sentence end with it, so its length is taken off again."""
+    low = target - reach
+    near = lambda of, end: f"select doc_id, arg_min({low} + {end}, {{'d': abs({low} + {end} - {target}), 'p': {low} + {end}}}) as p from {of} group by doc_id"
+    return f"""with w as (select doc_id, case when length(text) > {low} then substr(text, {low + 1}, least({target + reach}, length(text)) - {low}) else '' end as text from documents),
+a as ({scan(SENTENCE, 'w')}), b as ({scan(chr(92) + 'n', 'w')}),
+s as ({near('a', '("end" - case when regexp_matches(text, ' + chr(39) + '[A-Z]$' + chr(39) + ') then 1 else 0 end)')}), l as ({near('b', '"end"')})
+select d.doc_id, coalesce(s.p, l.p, {target})::int as "at" from documents d left join s using (doc_id) left join l using (doc_id)"""
+
+
 def _dob() -> str:
     d = "strptime(text, '%m/%d/%Y')::date"
     q = lambda s: f"k || '|{s}'"
