@@ -16,7 +16,7 @@ def test_language_stage_keeps_ambiguous_documents(spark, monkeypatch):
     seen = [(1, "clean text", "en", "en", 0.9, False), (2, "word", "en", "en", 0.52, True), (3, "12", "en", "und", 0.0, False)]
     found = spark.createDataFrame(seen, COLUMNS + ", lang_pred string, score double, ambiguous boolean")
     monkeypatch.setattr(language, "fit", lambda docs: None)
-    monkeypatch.setattr(language, "identify", lambda docs, model: found)
+    monkeypatch.setattr(language, "identify", lambda docs, model, names: found)
     got = corpus_pipeline.identify_language(spark, found.select("doc_id", "text", "lang"), "")
     assert sorted(map(tuple, got.collect())) == [(1, "clean text", "en"), (2, "word", "en")]
 
