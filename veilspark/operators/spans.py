@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from . import nested
 
 
@@ -23,14 +24,25 @@ def dedupe_overlaps(spans: Column) -> Column:
         over = F.least(a["end"], b["end"]) - F.greatest(a["start"], b["start"])
         return (over > 0) & ((2 * over > a["end"] - a["start"]) | (2 * over > b["end"] - b["start"]))
 
+    def met(acc: Column, s: Column) -> Column:
+        def at_(at: Column) -> Column:
+            old = F.try_element_at(acc, at)
+            longer = s["end"] - s["start"] > old["end"] - old["start"]
+            swapped = F.transform(acc, lambda k, i: F.when(i == at - 1, s).otherwise(k))
+            return F.when(at == 0, F.concat(acc, F.array(s))).when(longer, swapped).otherwise(acc)
+
+        return F.when(F.size(acc) == 0, F.array(s)).otherwise(let(F.array_position(F.transform(acc, lambda k: much(k, s)), True).cast("int"), at_))
+
+    # Spans that end before the next one starts are met by none that follow: only the others are looked at.
+    state = f"struct<done:{kind},live:{kind},until:int>"
+    make = lambda done, live, until: F.struct(done.alias("done"), live.alias("live"), until.alias("until"))
+
     def step(acc: Column, s: Column) -> Column:
-        at = F.array_position(F.transform(acc, lambda k: much(k, s)), True).cast("int")
-        old = F.try_element_at(acc, at)
-        longer = s["end"] - s["start"] > old["end"] - old["start"]
-        swapped = F.transform(acc, lambda k, i: F.when(i == at - 1, s).otherwise(k))
-        return F.when(at == 0, F.concat(acc, F.array(s))).when(longer, swapped).otherwise(acc)
+        past = make(F.concat(acc["done"], acc["live"]), F.array(s), s["end"])
+        return F.when(s["start"] >= acc["until"], past).otherwise(make(acc["done"], met(acc["live"], s), F.greatest(acc["until"], s["end"])))
 
-    first = F.aggregate(ordered.cast(kind), F.array().cast(kind), lambda acc, s: F.when(F.size(acc) == 0, F.array(s)).otherwise(step(acc, s)))
+    none = F.array().cast(kind)
+    first = F.aggregate(ordered.cast(kind), make(none, none, F.lit(None).cast("int")).cast(state), step, lambda acc: F.concat(acc["done"], acc["live"]))
     return F.transform(first, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["type"].alias("type")))
 
 
