@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,26 +25,63 @@ def boundary(text: Column, target: Column, reach: int = RANGE) -> Column:
     return F.coalesce(nearest(P.SENTENCE), nearest(r"\n"), target)
 
 
+PIECES = "array<struct<chunk_id:int,text:string,start_char:int,end_char:int>>"
+
+
+def pieces(text: Column, limit: int, size: int, overlap: int) -> Column:
+    """The pieces of chunk() as an array, over Arrow batches: one pass over the text's tokens, and boundary() looked for
+    in the window of a piece alone. run() needs nothing of this package where it runs."""
+    token_, sentence_, reach, step = TOKEN, P.SENTENCE, RANGE, size - overlap
+
+    def run(texts: pa.Array) -> pa.Array:
+        import re
+
+        token, ends = re.compile(token_, re.ASCII), [re.compile(p, re.ASCII) for p in (sentence_, "\n")]
+
+        def boundary(t: str, target: int) -> int:
+            low = max(target - reach, 0)
+            window = t[low : min(target + reach, len(t))]
+            for pattern in ends:
+                if near := [(abs(low + m.end() - target), low + m.end()) for m in pattern.finditer(window)]:
+                    return min(near)[1]
+            return target
+
+        def of(t: str | None) -> list[tuple]:
+            if t is None:
+                return [(0, None, 0, None)]
+            at = [m.span() for m in token.finditer(t)]
+            n = len(at)
+            if n <= limit:
+                return [(0, t, 0, len(t))]
+            out = []
+            for i in range(max(-((size - n) // step), 0) + 1):
+                first = i * step
+                end = len(t) if first + size >= n else at[first + size - 1][1]
+                start = 0
+                if first:
+                    start, back = at[first][0], first - overlap
+                    snapped = boundary(t, start)
+                    least = at[back][0] if 0 <= back < n else 0
+                    start = snapped if least <= snapped <= start else start
+                out.append((i, t[start:end], start, end))
+            return out
+
+        rows = [of(t) for t in texts.to_pylist()]
+        at = [0]
+        for r in rows:
+            at.append(at[-1] + len(r))
+        columns = list(zip(*(x for r in rows for x in r))) or [[]] * 4
+        flat = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.string(), pa.int32(), pa.int32()))], ["chunk_id", "text", "start_char", "end_char"])
+        return pa.ListArray.from_arrays(pa.array(at, pa.int32()), flat)
+
+    return F.arrow_udf(run, PIECES).asNondeterministic()(text)  # so it is not repeated in a filter
+
+
 def chunk(notes: DataFrame, limit: int = LIMIT, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """doc_id, chunk_id, text, start_char, end_char: the whole note if it has at most limit tokens, else pieces of at
-    most size tokens that overlap by overlap tokens and begin at a boundary where one is near.
-
-    The offsets of all tokens are found in one scan, so a piece's ends are looked up, not searched for.
-    """
-    tokens = scan(F.col("text"), TOKEN)
-    rows = notes.withColumn("_t", tokens).withColumn("_n", F.size("_t"))
-    last = F.greatest(F.ceil((F.col("_n") - size) / (size - overlap)), F.lit(0)).cast("int")
-    starts = F.when(F.col("_n") <= limit, F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), last), lambda i: i * (size - overlap)))
-    rows = rows.select("doc_id", "text", "_t", "_n", F.posexplode(starts).alias("chunk_id", "_from"))
-    begin = F.when(F.col("_from") == 0, 0).otherwise(F.element_at("_t", F.col("_from") + 1)["start"])
-    to = F.when(F.col("_n") <= limit, F.col("_n")).otherwise(F.least(F.col("_from") + size, F.col("_n")))
-    end = F.when(to == F.col("_n"), F.length("text")).otherwise(F.element_at("_t", F.greatest(to, F.lit(1)))["end"])
-    rows = rows.withColumn("_b", begin).withColumn("end_char", end)
-    snapped = boundary(F.col("text"), F.col("_b"))
-    token = F.try_element_at("_t", F.col("_from") - overlap + 1)["start"]
-    start = F.when(F.col("_from") == 0, 0).when(snapped.between(F.coalesce(token, F.lit(0)), F.col("_b")), snapped).otherwise(F.col("_b"))
-    rows = rows.withColumn("start_char", start)
-    return rows.select("doc_id", "chunk_id", F.substring("text", F.col("start_char") + 1, F.col("end_char") - F.col("start_char")).alias("text"), "start_char", "end_char")
+    most size tokens that overlap by overlap tokens and begin at a boundary where one is near."""
+    rows = notes.select("doc_id", pieces(F.col("text"), limit, size, overlap).alias("_p"))
+    return rows.select("doc_id", F.inline("_p")).select("doc_id", "chunk_id", "text", "start_char", "end_char")
 
 
 def lift(spans: DataFrame, chunks: DataFrame) -> DataFrame:
