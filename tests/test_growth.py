@@ -1,9 +1,14 @@
 """Steps whose cost must grow no faster than their input."""
 
+import random
+import time
+
 import __spark_entry__
 from pyspark.sql import functions as F
 
-from veilspark.operators import chunks, spans, training
+from veilspark.functions import patterns as P
+from veilspark.functions.text import scan
+from veilspark.operators import audit, chunks, detect, filters, nested, spans, training
 from veilspark.sources import notes as N
 
 SF = "/root/testdata/sf0.001"
@@ -50,3 +55,28 @@ def test_very_many_spans_of_chunks_are_compared_with_neighbours_alone(spark):
     df = spark.createDataFrame([(many,)], "s array<struct<start:int,end:int,type:string>>")
     got = df.select(spans.dedupe_overlaps(F.col("s")).alias("o")).first()["o"]
     assert [tuple(x) for x in got] == [(i * 10, i * 10 + 8, "A") for i in range(4000)]
+
+
+def test_veto_queries_read_their_notes_once_and_join_no_spans(spark):
+    for name in ("veto_differences", "safe_veto", "veto_by_type"):
+        made = plan(__spark_entry__.queries()[name](spark, SF)).split("== Initial Plan ==")[-1]
+        assert made.count("orders.parquet") == 1 and made.count("Join") == 1, name  # the join of orders and customers
+
+
+def test_veto_of_spans_in_rows_equals_that_of_tables(spark):
+    rows = [(1, "BP\t1951\nRM01 at 0930", [(4, 6, "A", "95"), (3, 7, "A", "1951"), (8, 12, "B", "RM01"), (8, 12, "B", "RM01"), (None, 3, "B", "x")]), (2, None, [(0, 1, "B", "y")]), (3, "RM02", None), (4, "RM02", []), (None, "RM03", [(0, 4, "A", "RM03")])]
+    notes = spark.createDataFrame(rows, "doc_id long, text string, spans array<struct<start:int,end:int,type:string,text:string>>")
+    table = notes.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*")
+    for make in (filters.veto_safe, audit.veto_by_type):
+        a, b = make(None, notes), make(table, notes.drop("spans"))
+        assert a.columns == b.columns and sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+
+def test_differences_of_repeated_and_null_rows(spark):
+    df = lambda *rows: spark.createDataFrame(list(rows), "`a.b` int, s string")
+    many = spark.range(100_000).select(F.lit(7).alias("a.b"), F.lit("many").alias("s"))
+    expected, actual = df((1, None), (1, None), (2, "x"), (None, "n")).union(many), df((1, None), (3, "y"), (None, "n"), (2, "x"), (2, "x"))
+    made = audit.set_differences(expected, actual)
+    assert plan(made).split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1
+    got = {tuple(r[:3]): r[3] for r in made.groupBy("`a.b`", "s", "side").count().collect()}
+    assert got == {(1, None, "missing"): 1, (3, "y", "unexpected"): 1, (2, "x", "unexpected"): 1, (7, "many", "missing"): 100_000}

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions.text import cut, masked, scan
 from . import nested
-from .filters import uncovered
+from .filters import is_taken, uncovered, with_verdicts
 
 CONTEXT = 18  # characters on either side in which neighbours are looked for
+REPEAT = 65536
 
 
 def provider_leaks(notes: DataFrame, spans: DataFrame) -> DataFrame:
@@ -46,18 +47,29 @@ def top_contexts(found: DataFrame, notes: DataFrame, k: int = 5) -> DataFrame:
     return rows.groupBy("token", "context").agg(F.count("*").alias("n")).withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def veto_by_type(spans: DataFrame, notes: DataFrame) -> DataFrame:
-    """type, gold, overlap (pairs with a safe range), vetoed."""
-    safe = notes.select(F.col("doc_id").alias("_d"), nested.safe_ranges(F.col("text")).alias("_safe"))
-    rows = spans.join(safe, F.col("doc_id").eqNullSafe(F.col("_d")), "left")
-    s = F.struct("start", "end")
-    pairs = F.size(F.filter("_safe", lambda r: nested.meets(r, s)))
-    return rows.groupBy("type").agg(F.count("*").alias("gold"), F.sum(pairs).alias("overlap"), F.count_if(nested.is_safe(s, F.col("_safe"))).alias("vetoed"))
+def veto_by_type(spans: DataFrame | None, notes: DataFrame) -> DataFrame:
+    """type, gold, overlap (pairs with a safe range), vetoed. Without spans, of those in the notes' rows."""
+    pairs = lambda s, ranges: F.size(F.filter(ranges, lambda r: nested.meets(r, s)))
+    rows = with_verdicts(spans, notes, _pairs=pairs, _taken=is_taken)
+    return rows.groupBy("type").agg(F.count("*").alias("gold"), F.sum("_pairs").alias("overlap"), F.count_if("_taken").alias("vetoed"))
 
 
 def set_differences(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """The rows of either table that the other lacks, with side: missing or unexpected."""
-    return expected.exceptAll(actual).withColumn("side", F.lit("missing")).unionByName(actual.exceptAll(expected).withColumn("side", F.lit("unexpected")))
+    signed = lambda df, n: df.withColumn("_n", F.lit(n))
+    return counted_differences(signed(expected, 1).union(signed(actual, -1)))
+
+
+def counted_differences(rows: DataFrame, n: str = "_n") -> DataFrame:
+    """set_differences() of rows that say how often more they are expected than they are there (n, which may be less
+    than zero): rows of zero go before anything moves, and equal rows are counted once for both sides."""
+    keys = [F.col(f"`{c}`") for c in rows.columns if c != n]
+    many = rows.filter(F.col(n) != 0).groupBy(*keys).agg(F.sum(n).alias(n)).filter(F.col(n) != 0)
+    # As many rows as are missing, in two steps, so that no array is long.
+    steps = F.sequence(F.lit(0).cast("long"), F.floor((F.abs(n) - 1) / REPEAT))
+    many = many.withColumn("_i", F.explode(steps))
+    many = many.withColumn("_j", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(REPEAT).cast("long"), F.abs(n) - F.col("_i") * REPEAT))))
+    return many.select(*keys, F.when(F.col(n) > 0, "missing").otherwise("unexpected").alias("side"))
 
 
 def of_domain(docs: DataFrame, keywords: list[str], domain: str = "domain") -> DataFrame:

@@ -183,7 +183,7 @@ def is_safe(s: Column, ranges: Column) -> Column:
 
 def without_safe(spans: Column, note: Column) -> Column:
     """Spans that lie in no room and strictly in no clock time."""
-    return let(safe_ranges(note), lambda ranges: F.filter(spans, lambda s: ~is_safe(s, ranges)))
+    return let(safe_ranges(note), lambda ranges: F.filter(spans, lambda s: ~F.coalesce(is_safe(s, ranges), F.lit(False))))
 
 
 def words_of(text: Column) -> Column:
