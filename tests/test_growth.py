@@ -80,3 +80,12 @@ def test_differences_of_repeated_and_null_rows(spark):
     assert plan(made).split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1
     got = {tuple(r[:3]): r[3] for r in made.groupBy("`a.b`", "s", "side").count().collect()}
     assert got == {(1, None, "missing"): 1, (3, "y", "unexpected"): 1, (2, "x", "unexpected"): 1, (7, "many", "missing"): 100_000}
+
+
+def test_a_scan_fails_at_the_first_character(spark):
+    for name in "PHONE SSN STATE_ZIP DATE ROOM CLOCK BP TITLE GAZETTEER ZIP_PLUS4 ZIP_STATE ZIP_SHORT ZIP_GLUED".split():
+        assert getattr(P, name).startswith("(?="), name
+    df = spark.createDataFrame([("a\x02 12 \x02\x023",), ("\x02",), ("12",), ("",), (None,), ("é12😀3",)], "t string")
+    got = [r["m"] and [tuple(x) for x in r["m"]] if r["m"] is not None else None for r in df.select(scan(F.col("t"), r"\d+").alias("m")).collect()]
+    assert got == [[(3, 5, "12"), (8, 9, "3")], [], [(0, 2, "12")], [], None, [(1, 3, "12"), (4, 5, "3")]]
+    assert "split(" in plan(df.select(scan(F.col("t"), r"\d+"))) and "\x02" in plan(df.select(scan(F.col("t"), r"\d+")))

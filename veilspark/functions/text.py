@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_OPEN, _CLOSE = "\ufdd0", "\ufdd1"
+_MARK = "\x02"  # one ASCII character: texts stay in one byte a character, and split() needs no regular expression
 _FOLD = 128
 
 
@@ -22,13 +22,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def _pieces(text: Column, pattern: str | Column) -> Column:
-    """What lies between matches of the pattern, and the matches, in turn: the pattern is looked for once, and the
-    text is cut at two characters that no text has (Unicode's noncharacters), or by two searches where one has."""
+    """What lies between matches of the pattern, and the matches, in turn; the text alone where there is none. The
+    pattern is looked for once, and the text is cut at a control character around each match, or by two searches where
+    a text has that character."""
     regex = pattern if isinstance(pattern, Column) else F.lit(pattern)
-    once = F.split(F.regexp_replace(text, regex, F.lit(f"{_OPEN}$0{_CLOSE}")), f"[{_OPEN}{_CLOSE}]", -1)
+    marked = F.regexp_replace(text, regex, F.lit(f"{_MARK}$0{_MARK}"))
+    once = let(marked, lambda t: F.when(F.contains(t, F.lit(_MARK)), F.split(t, _MARK, -1)).when(t.isNotNull(), F.array(t)))
     found, gaps = F.regexp_extract_all(text, regex, F.lit(0)), F.split(text, regex, -1)
     twice = F.slice(F.flatten(F.transform(F.arrays_zip(gaps.alias("g"), found.alias("m")), lambda x: F.array(x["g"], x["m"]))), F.lit(1), 2 * F.size(found) + 1)
-    return F.when(F.contains(text, F.lit(_OPEN)) | F.contains(text, F.lit(_CLOSE)), twice).otherwise(once)
+    return F.when(F.contains(text, F.lit(_MARK)), twice).otherwise(once)
 
 
 def _starts(pieces: Column) -> Column:
@@ -56,7 +58,8 @@ def scan(text: Column, pattern: str | Column) -> Column:
     def of(pieces: Column) -> Column:
         one = lambda at, i: F.struct(F.get(at, i).alias("start"), F.get(at, i + 1).alias("end"), F.get(pieces, i).alias("text"))
         found = let(_starts(pieces), lambda at: F.transform(F.sequence(F.lit(1), F.size(pieces) - 1, F.lit(2)), lambda i: one(at, i)))
-        return F.when(F.size(pieces) > 1, found).when(pieces.isNotNull(), F.array().cast(kind))
+        one_match = let(F.length(F.get(pieces, F.lit(0))), lambda n: F.array(F.struct(n.alias("start"), (n + F.length(F.get(pieces, F.lit(1)))).alias("end"), F.get(pieces, F.lit(1)).alias("text"))))
+        return F.when(F.size(pieces) == 3, one_match).when(F.size(pieces) > 1, found).when(pieces.isNotNull(), F.array().cast(kind))
 
     return let(text, lambda t: let(_pieces(t, pattern), of))
 
