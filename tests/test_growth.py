@@ -89,3 +89,12 @@ def test_a_scan_fails_at_the_first_character(spark):
     got = [r["m"] and [tuple(x) for x in r["m"]] if r["m"] is not None else None for r in df.select(scan(F.col("t"), r"\d+").alias("m")).collect()]
     assert got == [[(3, 5, "12"), (8, 9, "3")], [], [(0, 2, "12")], [], None, [(1, 3, "12"), (4, 5, "3")]]
     assert "split(" in plan(df.select(scan(F.col("t"), r"\d+"))) and "\x02" in plan(df.select(scan(F.col("t"), r"\d+")))
+
+
+def test_recognized_spans_apart_are_not_compared_in_pairs(spark):
+    n = 20_000
+    df = spark.createDataFrame([("a 405-555-0123 b\n" * n,), ("1530 RM01 a 11/13/2025 x@y.zz OK 74104",)], "t string").select(detect.recognized(F.col("t")).alias("s"))
+    began = time.time()
+    long, short = [r["s"] for r in df.collect()]
+    assert time.time() - began < 20 and len(long) == n and (long[-1]["start"], long[-1]["end"]) == (17 * n - 15, 17 * n - 3)
+    assert [(s["type"], s["text"]) for s in short] == [("POSTCODE", "74104"), ("EMAIL", "x@y.zz"), ("DATE", "11/13/2025")]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import vocab as V
-from ..functions.text import scan
+from ..functions.text import let, scan
 from . import chunks, nested
 from .filters import uncovered
 from .spans import dedupe_overlaps
@@ -67,7 +67,13 @@ def _first_wins(found: Column, safe: Column) -> Column:
         return F.when(free, F.concat(acc, F.array(s))).otherwise(acc)
 
     kind = "array<struct<start:int,end:int,type:string,text:string>>"
-    return F.filter(F.aggregate(F.concat(safe.cast(kind), found.cast(kind)), F.array().cast(kind), step), lambda s: s["type"] != "SAFE")
+
+    def kept(every: Column) -> Column:
+        places = F.sort_array(F.transform(every, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+        some_meet = let(places, lambda p: F.exists(F.transform(p, lambda x, i: x["end"] > F.get(p, i + 1)["start"]), lambda b: F.coalesce(b, F.lit(False))))
+        return F.when(some_meet, F.aggregate(every, F.array().cast(kind), step)).otherwise(every)  # pairs are looked at only where some overlap
+
+    return F.filter(let(F.concat(safe.cast(kind), found.cast(kind)), kept), lambda s: s["type"] != "SAFE")
 
 
 def recognized(text: Column) -> Column:
