@@ -98,3 +98,13 @@ def test_recognized_spans_apart_are_not_compared_in_pairs(spark):
     long, short = [r["s"] for r in df.collect()]
     assert time.time() - began < 20 and len(long) == n and (long[-1]["start"], long[-1]["end"]) == (17 * n - 15, 17 * n - 3)
     assert [(s["type"], s["text"]) for s in short] == [("POSTCODE", "74104"), ("EMAIL", "x@y.zz"), ("DATE", "11/13/2025")]
+
+
+def test_short_name_lists_are_looked_for_alone(spark):
+    text = "Ann Garcia and Gap in a gap; Mr Smith. Smith Garciaz XGarcia Kowalczyk"
+    df = spark.createDataFrame([(text,)], "t string")
+    few = nested.by_gazetteer(F.col("t"), ["Garcia", "GAP", "smith", "O'Neil"])
+    many = nested.by_gazetteer(F.col("t"), ["Garcia", "GAP", "smith", "O'Neil", *[f"Zz{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(100)]])
+    a, b = df.select(few.alias("x"), many.alias("y")).first()
+    assert a == b and [s["text"] for s in a] == ["Garcia", "Smith"]
+    assert P.LOWER_WORD not in plan(df.select(few)) and P.LOWER_WORD in plan(df.select(many))

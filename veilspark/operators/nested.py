@@ -3,6 +3,7 @@ the text. Nothing is joined and nothing shuffled; the tables of spans in the oth
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,7 @@ SPANS = "array<struct<start:int,end:int,type:string,text:string>>"
 SPAN = "struct<start:int,end:int,type:string,text:string>"
 REACH = 256  # characters on either side of a span in which the word or number that it is part of is looked for
 WORD = r"[\p{L}\p{N}]"
+FEW = 64  # names that are looked for one by one
 
 
 def none() -> Column:
@@ -124,7 +126,12 @@ def by_credential(note: Column, type_: str = "NAME", extra: tuple[str, ...] = ()
 
 def by_gazetteer(note: Column, names: list[str], extra: tuple[str, ...] = ()) -> Column:
     """Capitalised words of a name list that the note never has in small letters and that begin no sentence."""
-    listed = F.array(*[F.lit(n) for n in sorted({n.lower() for n in names})])
+    lower = sorted({n.lower() for n in names})
+    listed = F.array(*map(F.lit, lower))
+    # Of a short list only its own words are looked for, else all; a listed word that the pattern cannot match is found by neither.
+    words = [n for n in lower if re.fullmatch("[a-z]{3,}", n)]
+    one_of = lambda words, else_: rf"(?=[{''.join(sorted({w[0] for w in words}))}])\b(?:{'|'.join(words)})\b" if 0 < len(words) <= FEW else else_
+    capital, small_ones = one_of([w.capitalize() for w in words], P.GAZETTEER), one_of(words, P.LOWER_WORD)
 
     def found(small: Column) -> Column:
         def keep(m: Column) -> Column:
@@ -132,9 +139,9 @@ def by_gazetteer(note: Column, names: list[str], extra: tuple[str, ...] = ()) ->
             word = F.lower(m["text"])
             return F.array_contains(listed, word) & ~F.array_contains(small, word) & (before != "") & ~before.rlike(r"[.!?:;]$") & ~is_medical(m["text"], extra)
 
-        return F.transform(F.filter(scan(note, P.GAZETTEER), keep), lambda m: span(m["start"], m["end"], "NAME", m["text"]))
+        return F.transform(F.filter(scan(note, capital), keep), lambda m: span(m["start"], m["end"], "NAME", m["text"]))
 
-    return let(F.array_distinct(F.regexp_extract_all(note, F.lit(P.LOWER_WORD), F.lit(0))), found)
+    return let(F.array_distinct(F.regexp_extract_all(note, F.lit(small_ones), F.lit(0))), found)
 
 
 def without_medical(spans: Column, extra: tuple[str, ...] = ()) -> Column:
