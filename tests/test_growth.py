@@ -108,3 +108,12 @@ def test_short_name_lists_are_looked_for_alone(spark):
     a, b = df.select(few.alias("x"), many.alias("y")).first()
     assert a == b and [s["text"] for s in a] == ["Garcia", "Smith"]
     assert P.LOWER_WORD not in plan(df.select(few)) and P.LOWER_WORD in plan(df.select(many))
+
+
+def test_lines_without_a_hint_of_a_zip_are_left_alone(spark):
+    random.seed(1)
+    some = ["".join(random.choice(["1", "12345", "-", " ", "OK", "a", "1234", "12", "\t"]) for _ in range(9)) for _ in range(20_000)]
+    hits = spark.createDataFrame([(t,) for t in some], "t string")
+    any_of = F.col("t").rlike("|".join((P.ZIP_PLUS4, P.ZIP_STATE, P.ZIP_SHORT, P.ZIP_GLUED)))
+    assert hits.filter(any_of).count() > 300 and hits.filter(any_of & ~F.col("t").rlike(P.ZIP_HINT)).count() == 0
+    assert P.ZIP_HINT in plan(__spark_entry__.queries()["zip_backstop"](spark, SF))
